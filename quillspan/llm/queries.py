@@ -3,11 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspan.llm import encoding, terms
+from quillspan.llm import canonical, encoding, terms
 from quillspan.runtime import table
 
 
+def _matched(spark: SparkSession, d: str) -> DataFrame:
+    values = canonical.members(table(spark, d, "extraction"), "extraction_id", "attr_name", "value_list")
+    vocabulary = canonical.entry_terms(table(spark, d, "vocab_class"), "iri", "schema_field", "label", "alt_terms")
+    return canonical.match(values, vocabulary)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _matched(spark, d).select(F.col("key").alias("extraction_id"), "pos", F.col("entry").alias("iri"))
+
+
+def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Report of the values that name no class: occurrences by field and value."""
+    missed = _matched(spark, d).where("entry = ''")
+    return missed.groupBy("field", "value").agg(F.count("*").alias("occurrences"))
+
+
 def p6_terms(spark: SparkSession, d: str) -> DataFrame:
     records = terms.all_records(table(spark, d, "extraction"), table(spark, d, "abstract_item"))
     return terms.marked(terms.term_counts(records, "record", "terms"))
@@ -21,7 +38,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_terms, p8_ids)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p6_found, p6_terms, p8_ids)}
 
 _TERMS = r"""
 with gold_field as (
