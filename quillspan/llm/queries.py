@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import canonical, encoding, terms
+from quillspan.llm import canonical, encoding, leakage, terms
 from quillspan.runtime import table
 
 
@@ -38,7 +38,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p6_found, p6_terms, p8_ids)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p6_found, p6_terms, p8_ids, p9_found)}
 
 _TERMS = r"""
 with gold_field as (
