@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import canonical, encoding, leakage, terms
+from quillspan.llm import canonical, encoding, leakage, pairs, terms
 from quillspan.runtime import table
 
 
@@ -25,6 +25,15 @@ def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return missed.groupBy("field", "value").agg(F.count("*").alias("occurrences"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.found(pairs.defects(table(spark, d, "llm_response"), table(spark, d, "abstract_item")))
+
+
+def p5_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair with all defects above their cutoffs."""
+    return pairs.defects(table(spark, d, "llm_response"), table(spark, d, "abstract_item"))
+
+
 def p6_terms(spark: SparkSession, d: str) -> DataFrame:
     records = terms.all_records(table(spark, d, "extraction"), table(spark, d, "abstract_item"))
     return terms.marked(terms.term_counts(records, "record", "terms"))
@@ -42,7 +51,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p6_found, p6_terms, p8_ids, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p5_found, p5_labels, p6_found, p6_terms, p8_ids, p9_found)}
 
 _TERMS = r"""
 with gold_field as (
