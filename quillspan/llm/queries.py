@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import canonical, encoding, leakage, pairs, terms
+from quillspan.llm import canonical, encoding, leakage, pairs, subjects, terms
 from quillspan.runtime import table
 
 
@@ -51,7 +51,21 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p5_found, p5_labels, p6_found, p6_terms, p8_ids, p9_found)}
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subjects_of(
+        table(spark, d, "documents"), table(spark, d, "subject_area"), table(spark, d, "subject_label")
+    )
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).where("sentence_share >= 0.2").select("doc_id", "subject")
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(_subjects(spark, d), table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p5_found, p5_labels, p6_found, p6_terms, p8_ids, p9_found, p10_found, p10_composition)}
 
 _TERMS = r"""
 with gold_field as (
