@@ -5,10 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import canonical, encoding, leakage, pairs, subjects, terms
+from quillspan.llm import canonical, encoding, leakage, pairs, quantiles, subjects, terms
 from quillspan.runtime import table
 
 
+FIELDS = ("request_duration_s", "eval_duration_s", "completion_tokens")
+SHARES = (0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
+
+
+def _daily(spark: SparkSession, d: str) -> DataFrame:
+    calls = table(spark, d, "llm_call").withColumn("day", F.to_date("called_at"))
+    return quantiles.sketch(quantiles.once(calls, "call_id", ("model", "day"), FIELDS), ("model", "day"), FIELDS)
+
+
+def p1_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Bucket counts by model and day, the form in which days are combined."""
+    return _daily(spark, d)
+
+
+def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles by model, from the combined sketches of all days."""
+    found = quantiles.percentiles(_daily(spark, d), ("model",), SHARES)
+    return found.withColumn("value", F.round("value", 6))
+
+
+def p1_response_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    responses = quantiles.once(table(spark, d, "llm_response"), "response_id", ("model",), FIELDS)
+    found = quantiles.percentiles(quantiles.sketch(responses, ("model",), FIELDS), ("model",), SHARES)
+    return found.withColumn("value", F.round("value", 6))
+
+
 def _matched(spark: SparkSession, d: str) -> DataFrame:
     values = canonical.members(table(spark, d, "extraction"), "extraction_id", "attr_name", "value_list")
     vocabulary = canonical.entry_terms(table(spark, d, "vocab_class"), "iri", "schema_field", "label", "alt_terms")
@@ -65,7 +91,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return subjects.composition(_subjects(spark, d), table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p5_found, p5_labels, p6_found, p6_terms, p8_ids, p9_found, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p1_sketches, p1_percentiles, p1_response_percentiles, p2_found, p2_unmatched, p5_found, p5_labels, p6_found, p6_terms, p8_ids, p9_found, p10_found, p10_composition)}
 
 _TERMS = r"""
 with gold_field as (
@@ -103,7 +129,39 @@ marked as (
   from counted)
 """
 
+_SKETCH = """
+with call as (
+  select {key}, model, {day} max(request_duration_s) as request_duration_s, max(eval_duration_s) as eval_duration_s,
+    cast(max(completion_tokens) as double) as completion_tokens
+  from {table} group by all),
+long as (
+  select *, case when x is null or isnan(x) or isinf(x) then null else cast(sign(x) as integer) end as sign from (
+    select model, {day_name} 'request_duration_s' as field, request_duration_s as x from call
+    union all select model, {day_name} 'eval_duration_s', eval_duration_s from call
+    union all select model, {day_name} 'completion_tokens', completion_tokens from call)),
+sketch as (
+  select model, {day_name} field, sign, cast(case when sign = 0 then 0 when sign is not null
+      then ceil(ln(abs(x)) / ln(1.01::double / 0.99::double)) end as integer) as bucket, cast(count(*) as bigint) as n
+  from long group by all)
+"""
+_PERCENTILES = """,
+bucketed as (select model, field, sign, bucket, sum(n) as n from sketch where sign is not null group by all),
+placed as (
+  select *, sum(n) over (partition by model, field order by sign * 10000000 + sign * bucket) as upto,
+    sum(n) over (partition by model, field) as total from bucketed),
+ranked as (select *, floor(1 + share * (total - 1)) as r from placed,
+  (values (0.05::double), (0.25), (0.5), (0.75), (0.9), (0.95), (0.99)) as s(share))
+select model, field, share, round(sign * pow(1.01::double / 0.99::double, bucket) * (2 / (1 + 1.01::double / 0.99::double)), 6) as value,
+  cast(total as bigint) as n
+from ranked where upto - n < r and r <= upto
+"""
+_CALLS = _SKETCH.format(key="call_id", table="llm_call", day="cast(called_at as date) as day,", day_name="day,")
+_RESPONSES = _SKETCH.format(key="response_id", table="llm_response", day="", day_name="")
+
 SQL = {
+    "p1_sketches": _CALLS + "select * from sketch",
+    "p1_percentiles": _CALLS + _PERCENTILES,
+    "p1_response_percentiles": _RESPONSES + _PERCENTILES,
     "p6_terms": _TERMS + "select * from marked",
     "p6_found": _TERMS + "select term, mark from marked where mark <> 'useful'",
 }
