@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.runtime import once
+
 MARK = "\x01"
 
 
@@ -71,15 +73,6 @@ def json_object_or_empty(text: Column) -> Column:
     return (text == "") | json_object(text)
 
 
-def once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """``df`` with a column that is computed once a row, however often it is used after.
-
-    A generator over one element keeps the optimizer from copying the expression into
-    every place that refers to it, filters included.
-    """
-    return df.withColumn(name, F.explode(F.array(value)))
-
-
 def pieces_of(line: Column) -> Column:
     """The record cut at its quotes: even members stand outside quotes, odd ones inside.
 

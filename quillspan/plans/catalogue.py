@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillspan.plans import general
+from quillspan.plans import general, scoring
 
-MODULES = (general,)
+MODULES = (general, scoring)
 
-FLAGSHIP = "p3_found"
+FLAGSHIP = "score_models"
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "quillspan", **conf: str) -> SparkSession:
@@ -39,3 +40,12 @@ def cut(df: DataFrame) -> DataFrame:
             named = tempfile.mkdtemp(prefix="quillspan-checkpoint-")
         sc.setCheckpointDir(named)
     return df.checkpoint()
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row, however often it is used after.
+
+    A generator over one element keeps the optimizer from copying the expression into
+    every place that refers to it, filters included.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
