@@ -52,7 +52,7 @@ def members(json_text: Column) -> Column:
 def clean_values(json_text: Column) -> Column:
     """The values of a field, stripped, blanks and nulls left out, absent spellings unified."""
     held = F.filter(F.transform(members(json_text), stripped), lambda v: v.isNotNull() & (v != ""))
-    return F.transform(held, absent)
+    return F.transform(held, lambda v: absent(v))
 
 
 def payload_values(payload: Column) -> Column:

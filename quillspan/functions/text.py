@@ -90,4 +90,4 @@ def shortened(x: Column, length: int, mark: str = "...") -> Column:
 
 
 def seconds_text(x: Column) -> Column:
-    return F.coalesce(F.format_string("%.2fs", x), F.lit("n/a"))
+    return F.when(x.isNull(), "n/a").otherwise(F.format_string("%.2fs", x))

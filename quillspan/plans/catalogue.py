@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspan.plans import general, scoring
+from quillspan.plans import answers_queries, calls, general, scoring, similarity_queries, vocabulary_queries
 
-MODULES = (general, scoring)
+MODULES = (general, scoring, answers_queries, similarity_queries, vocabulary_queries, calls)
 
 FLAGSHIP = "score_models"
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
