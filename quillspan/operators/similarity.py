@@ -171,12 +171,10 @@ def candidate_pairs(extracted: DataFrame, gold: DataFrame, vectors: DataFrame) -
     ``vectors`` is (text, encoder, vector); values without a vector have a null score.
     """
     left = vectors.select(F.col("text").alias("value"), F.col("encoder"), F.col("vector").alias("_a"))
-    right = vectors.select(F.col("text").alias("gold_value"), F.col("encoder").alias("_e"), F.col("vector").alias("_b"))
-    pairs = extracted.join(
+    right = vectors.select(F.col("text").alias("gold_value"), F.col("encoder"), F.col("vector").alias("_b"))
+    pairs = extracted.select("item_id", "model", "attribute", "pos", "value").join(
         gold.select("item_id", "attribute", F.col("pos").alias("gold_pos"), F.col("value").alias("gold_value")),
         ["item_id", "attribute"],
     )
-    scored = pairs.join(small(left), "value", "left").join(
-        small(right), (F.col("gold_value") == right["gold_value"]) & (F.col("encoder") == F.col("_e")), "left"
-    )
-    return scored.drop(right["gold_value"]).drop("_e").withColumn("score", cosine(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+    scored = pairs.join(small(left), "value", "left").join(small(right), ["gold_value", "encoder"], "left")
+    return scored.withColumn("score", cosine(F.col("_a"), F.col("_b"))).drop("_a", "_b")

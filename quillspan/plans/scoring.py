@@ -11,7 +11,7 @@ from quillspan.functions import answers
 from quillspan.functions.dates import MONTHS, month_of
 from quillspan.functions.text import absent, field_name, split_values, without_annotations
 from quillspan.operators import matching, vocabulary
-from quillspan.runtime import once, table
+from quillspan.runtime import cut, once, table
 
 
 def responses(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +51,8 @@ def long_forms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataF
     known = synonyms(spark, d)
     items = responses(spark, d).select("item_id", "abstract_id")
     gold = gold_fields(spark, d).join(items, "abstract_id")
-    return matching.extracted_long(cells(spark, d), known), matching.gold_long(gold, known), gold
+    # read several times by outcomes and scores: written once instead of being made again
+    return cut(matching.extracted_long(cells(spark, d), known)), cut(matching.gold_long(gold, known)), gold
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +63,7 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 def _scores(spark: SparkSession, d: str, keys: tuple[str, ...]) -> DataFrame:
     extracted, gold, fields = long_forms(spark, d)
     seen = extracted.select("item_id", "model").distinct()
-    expected = fields.groupBy("item_id").agg(F.sum(F.size("values")).alias("total_expected"))
+    expected = gold.groupBy("item_id").agg(F.count("*").alias("total_expected"))
     totals = seen.join(expected, "item_id", "left").na.fill({"total_expected": 0})
     found = matching.scores(matching.outcomes(extracted, gold, fields), totals, keys)
     return found.select(*keys, "hits", "misses", "fps", "total_expected", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "f1")])
