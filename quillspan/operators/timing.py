@@ -12,10 +12,11 @@ def rollup(rows: DataFrame, keys: Sequence[str], durations: Sequence[str], token
     """``*keys, calls``, per duration its total, count and average, and the token sums.
 
     Null durations count nowhere, and a duration without values has a null total and
-    average; null tokens count as 0. One map-side combined aggregation.
+    average; null tokens count as 0. Durations as decimals add up to the same total in any order. One map-side combined aggregation.
     """
     measures = [F.count(F.lit(1)).alias("calls")]
     for c in durations:
-        measures += [F.sum(c).alias(f"{c}_total"), F.count(c).alias(f"{c}_n"), F.avg(c).alias(f"{c}_avg")]
+        total, n = F.sum(c).cast("double"), F.count(c)
+        measures += [total.alias(f"{c}_total"), n.alias(f"{c}_n"), F.when(n > 0, total / n).alias(f"{c}_avg")]
     measures += [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in tokens]
     return rows.groupBy(*keys).agg(*measures)

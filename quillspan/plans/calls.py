@@ -15,20 +15,19 @@ TOKENS = ("prompt_tokens", "completion_tokens", "reasoning_tokens")
 
 def _calls(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "llm_call").select("call_id", "model", "abstract_id", "constrained", *DURATIONS, *TOKENS).distinct()
-    good = [F.when(F.col(c).between(0, 100_000), F.col(c)).alias(c) for c in DURATIONS]
+    good = [F.when(F.col(c).between(0, 100_000), F.col(c)).cast("decimal(18,6)").alias(c) for c in DURATIONS]
     return rows.select("call_id", "model", "abstract_id", "constrained", *good, *[F.when(F.col(c) >= 0, F.col(c)).alias(c) for c in TOKENS])
 
 
 def timing_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Total, count and average of each duration and the token sums, by model."""
-    found = rollup(_calls(spark, d), ("model",), DURATIONS, TOKENS)
-    return found.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes])
+    return rollup(_calls(spark, d), ("model",), DURATIONS, TOKENS)
 
 
 def drop_errors(spark: SparkSession, d: str) -> DataFrame:
     """Events that are no errors, by user."""
     rows = table(spark, d, "events").where("event_type <> 'error'")
-    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,6)")).cast("double").alias("total"))
 
 
 def props_json(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +66,7 @@ def html_escape(spark: SparkSession, d: str) -> DataFrame:
 
 
 def duration_text(spark: SparkSession, d: str) -> DataFrame:
-    rows = _calls(spark, d).select("call_id", F.round("request_duration_s", 1).alias("s"))
+    rows = _calls(spark, d).select("call_id", F.round("request_duration_s", 1).cast("double").alias("s"))
     return rows.select("call_id", seconds_text(F.col("s")).alias("shown"))
 
 
@@ -83,7 +82,7 @@ QUERIES = {
 
 _CALLS = (
     "with c as (select distinct call_id, model, abstract_id, constrained, "
-    + ", ".join(f"case when {c} between 0 and 100000 then {c} end as {c}" for c in DURATIONS)
+    + ", ".join(f"cast(case when {c} between 0 and 100000 then {c} end as decimal(18, 6)) as {c}" for c in DURATIONS)
     + ", "
     + ", ".join(f"case when {c} >= 0 then {c} end as {c}" for c in TOKENS)
     + " from llm_call)\n"
@@ -91,11 +90,11 @@ _CALLS = (
 SQL = {
     "timing_rollup": _CALLS
     + "select model, cast(count(*) as bigint) as calls, "
-    + ", ".join(f"round(sum({c}), 4) as {c}_total, cast(count({c}) as bigint) as {c}_n, round(avg({c}), 4) as {c}_avg" for c in DURATIONS)
+    + ", ".join(f"cast(sum({c}) as double) as {c}_total, cast(count({c}) as bigint) as {c}_n, cast(sum({c}) as double) / nullif(count({c}), 0) as {c}_avg" for c in DURATIONS)
     + ", "
     + ", ".join(f"cast(coalesce(sum({c}), 0) as bigint) as {c}" for c in TOKENS)
     + " from c group by model",
-    "drop_errors": "select user_id, cast(count(*) as bigint) as n, round(sum(value), 4) as total from events where event_type <> 'error' group by 1",
+    "drop_errors": "select user_id, cast(count(*) as bigint) as n, cast(sum(cast(value as decimal(18, 6))) as double) as total from events where event_type <> 'error' group by 1",
     "props_json": "select event_id, cast(json_extract(props, '$.k') as integer) as k from events",
     "list_items": "select distinct abstract_id, left(coalesce(title, ''), 60) || '...' as title from abstract_item",
     "filter_by_id": """select distinct response_id, abstract_id from llm_response where abstract_id in (
@@ -105,6 +104,6 @@ group by 1 order by n desc, abstract_id limit 20""",
     "sanitize_names": r"""select distinct name, coalesce(nullif(regexp_replace(regexp_replace(name, '[^A-Za-z0-9._-]+', '-', 'g'), '^[._-]+|[._-]+$', '', 'g'), ''), 'unknown-model') as folder
 from (select unnest([model, run_label, abstract_id]) as name from llm_call) where name is not null""",
     "html_escape": """select doc_id, md5(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) as escaped_md5 from documents""",
-    "duration_text": _CALLS + "select call_id, coalesce(printf('%.2fs', round(request_duration_s, 1)), 'n/a') as shown from c",
+    "duration_text": _CALLS + "select call_id, coalesce(printf('%.2fs', cast(round(request_duration_s, 1) as double)), 'n/a') as shown from c",
     "truncate_text": "select doc_id, left(text, 80) as head, cast(length(text) as integer) as n from documents",
 }
