@@ -18,6 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: How often a function is believed to vote yes without and with the label, before any vote
+#: is seen, and the number of votes that this belief weighs.
+BELIEF = (0.01, 0.7)
+WEIGHT = 10
+
+
 @dataclass
 class LabelModel:
     """``prior`` of the label; ``right[y, j]``: how often a vote of function j is yes under label y."""
@@ -33,12 +39,15 @@ class LabelModel:
         return np.where((yes | no).any(axis=1), 1 / (1 + np.exp(-np.clip(odds, -500, 500))), 0.0)
 
 
-def fit(votes: np.ndarray, counts: np.ndarray, start: np.ndarray | None = None, rounds: int = 200) -> LabelModel:
+def fit(
+    votes: np.ndarray, counts: np.ndarray, start: np.ndarray | None = None, rounds: int = 200, known: np.ndarray | None = None
+) -> LabelModel:
     """The model of vote patterns (rows of -1, 0, 1) that occur ``counts`` times.
 
     Not voting is no evidence. Starts from the share of votes in favour, or from given
-    posteriors; rates are smoothed by one vote of each kind, and a function is held to
-    vote yes under the label at least as often as without it.
+    posteriors; rates are drawn towards ``BELIEF`` with some weight, and a function is held to
+    vote yes under the label at least as often as without it. ``known`` gives the probability
+    of the label where it has been looked up, NaN elsewhere; such patterns keep it.
     """
     votes, counts = np.asarray(votes, int), np.asarray(counts, float)
     if votes.size == 0 or counts.sum() == 0:
@@ -48,17 +57,18 @@ def fit(votes: np.ndarray, counts: np.ndarray, start: np.ndarray | None = None,
         start = np.where(cast > 0, (votes.sum(axis=1) + cast) / np.maximum(2 * cast, 1), 0.0)
         start = np.clip(start, 0.02, 0.98)
     counts = np.where(cast > 0, counts, 0.0)
-    post, model = start, None
+    known = np.full(len(counts), np.nan) if known is None else np.asarray(known, float)
+    post, model = np.where(np.isnan(known), start, known), None
     for _ in range(rounds):
         prior = float(np.clip((counts @ post + 1) / (counts.sum() + 2), 1e-6, 1 - 1e-6))
         right = np.empty((2, votes.shape[1]))
         for y, weight in enumerate((counts * (1 - post), counts * post)):
             yes, no = weight @ (votes > 0), weight @ (votes < 0)
-            right[y] = (yes + 1) / (yes + no + 2)
+            right[y] = (yes + BELIEF[y] * WEIGHT) / (yes + no + WEIGHT)
         wrong = right[1] < right[0]
         right[:, wrong] = right[:, wrong].mean(axis=0)
         model = LabelModel(prior, right)
-        new = model.posterior(votes)
+        new = np.where(np.isnan(known), model.posterior(votes), known)
         if np.abs(new - post).max() < 1e-6:
             break
         post = new

@@ -61,6 +61,8 @@ REASONS = re.compile(
     r"without access to the full paper|fragen sie eine fachperson|sensible angaben|consulter un spécialiste|"
     r"données sensibles|consulte a un especialista|datos delicados"
 )
+# Words that stand around an answer and say nothing.
+WRAPPING = frozenset("sure here is the json result answer output end of".split())
 QUOTED = re.compile(r"“[^”]*”?|„[^“”]*[“”]?|«[^»]*»?|‘[^’]*’")
 ENDED = re.compile(r"[.!?。…][\"'”»)\]]*\s*$")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -175,7 +177,7 @@ def votes_of(question: str, abstract: str, content: str | None) -> tuple[dict[st
 
     blank = not has_value and not has_text
     bare = re.sub(r'"[^"]*"\s*:|```\w*|\b(?:null|json|true|false)\b', "", text)
-    empty = [1 if blank else -1, 1 if len(WORD.findall(bare)) <= 5 else -1, 1 if not text.strip() else 0]
+    empty = [1 if blank else -1, 1 if set(WORD.findall(bare.lower())) <= WRAPPING else -1, 1 if not text.strip() else 0]
 
     low = re.sub(r"[’`]", "'", said.lower())
     few = not shown

@@ -34,6 +34,8 @@ ADDRESS = re.compile(r"\S+@\S+|\w+://\S+|www\.\S+")
 LANGUAGES = tuple(TELLING)
 LEAST_WORDS = 5
 NONE_BONUS = 1.0
+#: How far a hand label is trusted.
+RIGHT = 0.98
 FUNCTIONS = ("lexicon", "section", "address", "source")
 
 
@@ -113,14 +115,10 @@ def learn(texts: list[list[list[str]]], labels: list[set[int]], subjects: int, r
 
 
 def lexicon(
-    documents: DataFrame, labels: DataFrame, areas: DataFrame, names: list[str], key: str, text: str, lang: str, sample: int
+    documents: DataFrame, chosen: DataFrame, areas: DataFrame, names: list[str], key: str, text: str, lang: str
 ) -> DataFrame:
-    """``lang, word, weights`` learned from at most ``sample`` labelled documents and the descriptions."""
-    spark, place = documents.sparkSession, {n: i for i, n in enumerate(names)}
-    own = labels.where(F.col("subject").isin(names)).groupBy(F.col("doc_id").alias("_id")).agg(
-        F.collect_set("subject").alias("subjects")  # as many as there are subject areas
-    )
-    chosen = own.orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    """``lang, word, weights`` learned from the sample of labelled documents and the descriptions."""
+    place = {n: i for i, n in enumerate(names)}
     rows = documents.select(F.col(key).alias("_id"), F.col(text).alias("text"), F.col(lang).alias("given"))
     taught = rows.join(F.broadcast(chosen), "_id").select("text", "given", "subjects")
     described = areas.select(
@@ -135,7 +133,9 @@ def lexicon(
     def teach(pdf: pd.DataFrame) -> pd.DataFrame:
         texts = [sentences_of(t or "") for t in pdf["text"]]
         learned = learn(texts, [{place[s] for s in own} for own in pdf["subjects"]], len(names))
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "word": list(learned), "weights": [w.tolist() for w in learned.values()]})
+        learned = learned or {"\0": np.zeros(len(names) + 1)}  # a word that no text has
+        rows = [(pdf["lang"].iloc[0], w, x.tolist()) for w, x in learned.items()]
+        return pd.DataFrame(rows, columns=["lang", "word", "weights"])
 
     every = taught.unionByName(described).mapInPandas(spoken, "lang string, text string, subjects array<string>")
     # one group a language, of at most the sample
@@ -234,7 +234,14 @@ def subjects_of(
     """
     spark = documents.sparkSession
     names = sorted(r["subject"] for r in areas.select("subject").where("subject is not null").distinct().collect())
-    learned = lexicon(documents, labels, areas, names, key, text, lang, sample).collect()  # bounded by the sample
+    if not names:
+        shape = "subject string, posterior double, sentence_share double"
+        return spark.createDataFrame([], f"{key} {documents.schema[key].dataType.simpleString()}, {shape}")
+    own = labels.where(F.col("subject").isin(*names)).groupBy(F.col("doc_id").alias("_id")).agg(
+        F.collect_set("subject").alias("subjects")  # as many as there are subject areas
+    )
+    chosen = cut(own.orderBy(F.xxhash64("_id"), "_id").limit(sample))
+    learned = lexicon(documents, chosen, areas, names, key, text, lang).collect()  # bounded by the sample
     sent = spark.sparkContext.broadcast(Reader(learned, len(names)))
     k = len(names)
     kind, source_kind = (documents.schema[c].dataType.simpleString() for c in (key, source))
@@ -269,7 +276,7 @@ def subjects_of(
     mean = F.array(*[F.lit(float(overall[i] or 0.0)) for i in range(k)])
     joined = read.join(per_source, read["_source"].eqNullSafe(per_source["_source"]), "left").drop(per_source["_source"])
 
-    def chosen(picked: Column, i: int) -> Column:
+    def vote(picked: Column, i: int) -> Column:
         return F.when(picked < 0, 0).when(picked == i, 1).otherwise(-1)
 
     votes = F.array(
@@ -278,26 +285,30 @@ def subjects_of(
                 F.lit(i).alias("place"),
                 F.array(
                     F.when(lexical(of(i), F.col("n")), 1).otherwise(-1),
-                    chosen(F.col("opening"), i),
-                    chosen(F.col("address"), i),
+                    vote(F.col("opening"), i),
+                    vote(F.col("address"), i),
                     F.when(F.get("usual", F.lit(i)) > 2 * F.get(mean, F.lit(i)), 1)
                     .when(F.get("usual", F.lit(i)) < F.get(mean, F.lit(i)) / 2, -1)
                     .otherwise(0),
                 ).alias("votes"),
                 (of(i) / F.col("n")).alias("sentence_share"),
+                F.array_contains("subjects", names[i]).alias("labelled"),
             )
             for i in range(k)
         ]
     )
-    voted = joined.select("_key", F.inline(votes))
-    patterns = voted.groupBy("place", "votes").agg(F.count("*").alias("n")).collect()  # 81 a subject at most
+    # documents of the sample teach the accuracies with their labels, all others without
+    voted = joined.join(F.broadcast(chosen), F.col("_key") == F.col("_id"), "left").select("_key", F.inline(votes))
+    patterns = voted.groupBy("place", "votes", "labelled").agg(F.count("*").alias("n")).collect()  # 243 a subject at most
     table = []
     for i in range(k):
         own = [r for r in patterns if r["place"] == i]
         if own:
             matrix = np.array([r["votes"] for r in own])
-            model = fit(matrix, np.array([r["n"] for r in own]), np.where(matrix[:, 0] > 0, 0.95, 0.02))
-            table += [(i, names[i], r["votes"], float(p)) for r, p in zip(own, model.posterior(matrix)) if p > cutoff]
+            taught = np.array([{None: np.nan, True: RIGHT, False: 1 - RIGHT}[r["labelled"]] for r in own])
+            model = fit(matrix, np.array([r["n"] for r in own]), np.where(matrix[:, 0] > 0, 0.95, 0.02), known=taught)
+            seen = {tuple(r["votes"]): float(p) for r, p in zip(own, model.posterior(matrix))}
+            table += [(i, names[i], list(v), p) for v, p in seen.items() if p > cutoff]
     known = spark.createDataFrame(table, "place int, subject string, votes array<int>, posterior double")
     return voted.join(F.broadcast(known), ["place", "votes"]).select(
         F.col("_key").alias(key), "subject", F.round("posterior", 6).alias("posterior"), "sentence_share"
