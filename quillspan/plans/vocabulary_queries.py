@@ -126,6 +126,20 @@ SQL = {
     "vocab_summary": _TERMS
     + """select field, cast(count(*) as bigint) as n, (list(value order by encode(value)))[1:10] as head, cast(greatest(count(*) - 10, 0) as bigint) as rest
 from enum group by field""",
+    "synonym_map": _TERMS
+    + """, every as (
+  select distinct field, iri, pref, unnest(list_concat(case when regexp_matches(label, '\\S') then [label] else [] end, alts)) as t from pref)
+select field, lower(t) as term, arg_max(pref, iri) as canonical from every where lower(t) <> lower(pref) group by 1, 2""",
+    "term_list": r"""
+with t as (
+  select distinct field, lower(trim(term)) as term, iri from (
+    select schema_field as field, label as term, iri from vocab_class
+    union all select schema_field, unnest(alt_terms), iri from vocab_class) where regexp_matches(term, '\S')),
+u as (
+  select field, lower(trim(v)) as term, count(*) as n from (
+    select attr_name as field, unnest(value_list) as v from (select distinct extraction_id, attr_name, value_list from extraction))
+  where v is not null group by 1, 2)
+select t.field, t.term, t.iri, cast(coalesce(u.n, 0) as bigint) as n from t left join u using (field, term)""",
     "short_ids": r"""select distinct iri, string_split(string_split(iri, '/')[-1], '#')[-1] as short_id from ontology_class where regexp_matches(iri, '\S')""",
     "parents": _LIVE.rstrip().rstrip(",")
     + """
