@@ -86,5 +86,22 @@ above(ancestor, node, distance) as (
   union all
   select e.parent, a.node, a.distance + 1 from above a join edge e on a.ancestor = e.iri where e.parent is not null)
 select ancestor, node, cast(distance as integer) as distance from above
+""",
+    "p3_paths": _TREE
+    + """,
+path(iri, p) as (
+  select iri, [iri] from edge where parent is null
+  union all
+  select e.iri, list_append(path.p, e.iri) from edge e join path on e.parent = path.iri),
+-- classes off the trees: those that come back to themselves are on a cycle
+off as (select e.iri, e.parent from edge e where e.iri not in (select iri from tree)),
+walk(origin, here, n) as (
+  select iri, parent, 1 from off
+  union all
+  select w.origin, o.parent, w.n + 1 from walk w join off o on w.here = o.iri where w.here <> w.origin and w.n < (select count(*) from off)),
+cyclic as (select distinct origin from walk where here = origin)
+select e.iri, coalesce(t.root_iri, '') as root_iri, cast(coalesce(t.node_depth, -1) as integer) as node_depth,
+  case when t.iri is not null then 'tree' when e.iri in (select origin from cyclic) then 'cycle' else 'below' end as status, p.p as path
+from edge e left join tree t on e.iri = t.iri left join path p on e.iri = p.iri
 """,
 }
