@@ -32,6 +32,7 @@ NOTES = re.compile(r"[\s_-]*(?:\((?:inferred|not[\s_-]+mentioned)\)|\[\d+\])")
 ABBREVIATED = range(3, 7)
 RADIUS = 2
 SHORT = 4
+FEW = 24  # values up to which one by one is faster than together
 EXACT, INFLECTED, SHORTENED = 0, 1, 2
 
 
@@ -167,7 +168,7 @@ class Texts:
         m = len(term)
         if m == 0:
             return self.length[who]
-        if m > 63:
+        if m > 63 or len(who) <= FEW:
             return np.array([_levenshtein(term, self.values[i]) for i in who])
         masks = np.zeros(len(self.alphabet), np.uint64)
         places = defaultdict(int)
@@ -225,28 +226,29 @@ class Matcher:
                 if is_code(term):
                     self.fixed.add(form)
         self.forms = {form: (min(kinds), kinds[min(kinds)]) for form, kinds in named.items()}
-        self.tree = Tree()
-        for form in sorted(self.forms, key=lambda f: (self.forms[f][0], f)):
-            self.tree.add(form)
+        # shortened forms are many and come last in rank: they are searched only for what the others leave open
+        self.trees = (Tree(), Tree())
+        for form in sorted(self.forms):
+            self.trees[self.forms[form][0] == SHORTENED].add(form)
 
     def best(self, values: list[str]) -> list[tuple[int, int, set[str]] | None]:
         """For each value the least (slips, kind) reached and the entries that reach it."""
         read = [readings(v) for v in values]
         first = [self._exact(r) for r in read]
-        rest = sorted({s for r, hit in zip(read, first) if hit is None for s in r})
-        near: dict[str, tuple[int, int, set[str]]] = {}
-        for s, found in zip(rest, self.tree.within(rest, RADIUS)):
-            got = [
-                (1, self.forms[t][0], self.forms[t][1])
-                for _, t in found
-                if t not in self.fixed and len(t) > SHORT and within_one(s, t)
-            ]
-            if got:
-                near[s] = _merge(got)
-        return [
-            hit if hit is not None else _merge([near[s] for s in r if s in near]) if any(s in near for s in r) else None
-            for r, hit in zip(read, first)
-        ]
+        for tree in self.trees:
+            rest = sorted({s for r, hit in zip(read, first) if hit is None for s in r})
+            near: dict[str, tuple[int, int, set[str]]] = {}
+            for s, found in zip(rest, tree.within(rest, RADIUS)):
+                got = [
+                    (1, self.forms[t][0], self.forms[t][1])
+                    for _, t in found
+                    if t not in self.fixed and len(t) > SHORT and within_one(s, t)
+                ]
+                if got:
+                    near[s] = _merge(got)
+            met = [[near[s] for s in r if s in near] for r in read]
+            first = [hit if hit is not None or not m else _merge(m) for hit, m in zip(first, met)]
+        return first
 
     def _exact(self, read: list[str]) -> tuple[int, int, set[str]] | None:
         got = [(0, *self.forms[s]) for s in read if s in self.forms]
