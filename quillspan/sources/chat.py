@@ -86,9 +86,8 @@ def generated(prompts: DataFrame, key: str, prompt: str, factory: Callable[[], C
                     rows.append({"_k": k, **client.ask(text)})
                 except Exception as e:
                     rows.append({"_k": k, "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(rows).reindex(columns=["_k", *NAMES]).astype(
-                {"prompt_tokens": "Int64", "completion_tokens": "Int64", "done": "boolean"}
-            )
+            every = [[r.get(c) for c in ("_k", *NAMES)] for r in rows]
+            yield pd.DataFrame(every, columns=["_k", *NAMES], dtype=object)
 
     rows = prompts.selectExpr(f"`{key}` as _k", f"`{prompt}` as _p")
     return rows.mapInPandas(run, f"_k {kind}, {COLUMNS}").withColumnRenamed("_k", key)
