@@ -82,6 +82,7 @@ def cascade(
     low: float = 0.50,
     high: float = 0.85,
     strict_gate: bool = False,
+    answered: DataFrame | None = None,
 ) -> DataFrame:
     """Events of ``matching.outcomes`` with the methods ``vector``, ``date_format``, ``llm``, ``string``.
 
@@ -90,6 +91,7 @@ def cascade(
     match if the value is the same month as the first gold value. The judge sees unmatched
     values without a score or with one strictly between the thresholds, and with
     ``strict_gate`` all open and unavailable ones. Rejected values still meet the string rules.
+    ``answered`` is that of ``matching.outcomes``.
     """
     rows = extracted
     done = None
@@ -112,4 +114,4 @@ def cascade(
             open_cases = rows.where(F.col("matched").isNull() & between)
         by_judge = judged(open_cases.select(*KEYS, "value"), gold, judge)
         done = by_judge if done is None else done.unionByName(by_judge)
-    return outcomes(extracted, gold, attributes, done)
+    return outcomes(extracted, gold, attributes, done, answered)

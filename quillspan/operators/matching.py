@@ -60,15 +60,19 @@ def first_match(candidates: DataFrame, keys: tuple[str, ...], rule: Column, pos:
     )
 
 
-def outcomes(extracted: DataFrame, gold: DataFrame, attributes: DataFrame, matched: DataFrame | None = None) -> DataFrame:
+def outcomes(
+    extracted: DataFrame, gold: DataFrame, attributes: DataFrame, matched: DataFrame | None = None, answered: DataFrame | None = None
+) -> DataFrame:
     """One row per event: ``item_id, model, attribute, pos, outcome, value, matched, method``.
 
     ``extracted`` and ``gold`` are the long forms, ``attributes`` the (item_id, attribute)
     pairs that the gold standard has at all. ``matched`` may bring decisions of earlier
-    tiers: ``item_id, model, attribute, pos, matched, method``. The outcome is ``hit``,
-    ``false_positive``, ``miss`` (of each model with any row for the item) or
-    ``not_expected``; attributes whose gold is empty have no events. Repeated gold values
-    are missed as often as they stand; several extracted values may hit the same one.
+    tiers: ``item_id, model, attribute, pos, matched, method``. ``answered`` has the
+    (item_id, model) pairs that are scored, those without any value too; without it they
+    are the pairs in ``extracted``. The outcome is ``hit``, ``false_positive``, ``miss`` (of
+    each pair that is scored) or ``not_expected``; attributes whose gold is empty have no
+    events. Repeated gold values are missed as often as they stand; several extracted
+    values may hit the same one.
     """
     keys = ("item_id", "model", "attribute", "pos")
     has_gold = gold.select(*ITEM).distinct()
@@ -94,7 +98,7 @@ def outcomes(extracted: DataFrame, gold: DataFrame, attributes: DataFrame, match
         *keys, F.lit("not_expected").alias("outcome"), "value",
         F.lit(None).cast("string").alias("matched"), F.lit(None).cast("string").alias("method"),
     )
-    models = extracted.select("item_id", "model").distinct()
+    models = (extracted if answered is None else answered).select("item_id", "model").distinct()
     wanted = gold.select("item_id", "attribute", F.col("pos").alias("gpos"), "stripped", F.col("value").alias("matched"))
     met = judged.where("outcome = 'hit'").select("item_id", "model", "attribute", "matched").distinct()
     missed = (

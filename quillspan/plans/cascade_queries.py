@@ -52,7 +52,7 @@ def _cascade(spark: SparkSession, d: str) -> DataFrame:
     pairs = similarity.candidate_pairs(extracted, gold, vectors)
     best = similarity.best_candidate(pairs, (*KEYS, "encoder"), "score", "gold_pos", "gold_value")
     decided = similarity.ensemble(similarity.decided(best).withColumn("place", F.lit(0)), KEYS, "place")
-    return cascade(extracted, gold, fields, decided, WordJudge)
+    return cascade(extracted, gold, fields, decided, WordJudge, answered=scoring.answered(spark, d))
 
 
 def cascade_events(spark: SparkSession, d: str) -> DataFrame:

@@ -55,17 +55,30 @@ def long_forms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataF
     return cut(matching.extracted_long(cells(spark, d), known)), cut(matching.gold_long(gold, known)), gold
 
 
+def answered(spark: SparkSession, d: str) -> DataFrame:
+    """``item_id, model`` of the responses that are scored, with or without any value.
+
+    These are the answers that can be read as an object with fields, and those of which
+    fields were parsed. Unreadable and empty answers are errors, which the source does not score.
+    """
+    rows = table(spark, d, "llm_response").groupBy("response_id").agg(F.max("content").alias("content"))
+    readable = rows.where(F.size(answers.as_object(answers.repaired(F.col("content")))) > 0).select("response_id")
+    parsed = table(spark, d, "extraction").select("response_id")
+    known = readable.unionByName(parsed).withColumnRenamed("response_id", "item_id").distinct()
+    return cut(responses(spark, d).join(known, "item_id", "left_semi").select("item_id", "model"))
+
+
 def events(spark: SparkSession, d: str) -> DataFrame:
     extracted, gold, fields = long_forms(spark, d)
-    return matching.outcomes(extracted, gold, fields)
+    return matching.outcomes(extracted, gold, fields, answered=answered(spark, d))
 
 
 def _scores(spark: SparkSession, d: str, keys: tuple[str, ...]) -> DataFrame:
     extracted, gold, fields = long_forms(spark, d)
-    seen = extracted.select("item_id", "model").distinct()
+    seen = answered(spark, d)
     expected = gold.groupBy("item_id").agg(F.count("*").alias("total_expected"))
     totals = seen.join(expected, "item_id", "left").na.fill({"total_expected": 0})
-    found = matching.scores(matching.outcomes(extracted, gold, fields), totals, keys)
+    found = matching.scores(matching.outcomes(extracted, gold, fields, answered=seen), totals, keys)
     return found.select(*keys, "hits", "misses", "fps", "total_expected", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "f1")])
 
 
