@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,69 @@ def best_candidate(pairs: DataFrame, keys: Sequence[str], score: str, pos: str,
     )
 
 
+def _units(rows: pa.Table, dims: int | None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length, the places of the vectors that have a direction, and these as unit rows.
+
+    Vectors that are null, have a member that is null or not finite, or are all zero have none.
+    """
+    found: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for i, v in enumerate(rows.column("vector").to_pylist()):
+        if v and None not in (head := v[:dims]):
+            a = np.array(head, dtype="float64")
+            if np.isfinite(a).all() and (size := np.sqrt(a @ a)) > 0:
+                found.setdefault(len(a), []).append((i, a / size))
+    return {n: (np.array([i for i, _ in xs]), np.array([a for _, a in xs])) for n, xs in found.items()}
+
+
+def nearest(rows: DataFrame, id: str, vector: str, encoders: Sequence[tuple[str, int | None]], block: int = 500) -> DataFrame:
+    """``id, encoder, place, best_match, score``: the best other vector of all, for every vector.
+
+    An encoder is a name and how many of the first members it uses (all for None); ``place``
+    is its position. The score is the cosine clamped to 0..1, at 9 digits; of equal ones the
+    smallest id is named. A vector without a direction, or without another of its length,
+    keeps a row of null score.
+
+    Ids are salted into blocks of about ``block`` rows. Each pair of blocks is one product of
+    matrices, from which one row per vector and encoder leaves; the maximum over the blocks
+    is an aggregation. Every pair is scored, so the work grows with the square of the rows;
+    each row is sent twice to as many groups as there are blocks.
+    """
+    held = rows.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("vector"))
+    n = max(1, -(-held.count() // block))
+    part = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = held.select("id", "vector", part.alias("_q"), every.alias("_c"))
+    others = held.select("id", "vector", every.alias("_q"), part.alias("_c"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("id")
+        ids, candidates = left.column("id").to_numpy(), right.column("id").to_numpy()
+        out = []
+        for place, (name, dims) in enumerate(encoders):
+            match, score = np.full(len(ids), -1), np.full(len(ids), np.nan)
+            known = _units(right, dims)
+            for size, (at, a) in _units(left, dims).items():
+                if size not in known:
+                    continue
+                to, b = known[size]
+                products = np.round(np.clip(a @ b.T, 0.0, 1.0), 9)
+                products[ids[at][:, None] == candidates[to][None, :]] = -1.0  # a vector is no match of itself
+                top = products.argmax(axis=1)
+                best = products[np.arange(len(at)), top]
+                match[at[best >= 0]], score[at[best >= 0]] = candidates[to][top[best >= 0]], best[best >= 0]
+            none = np.isnan(score)
+            out.append(pa.table({
+                "id": ids, "encoder": pa.array([name] * len(ids), pa.string()), "place": np.full(len(ids), place, dtype="int32"),
+                "match": pa.array(match, pa.int64(), mask=none), "score": pa.array(score, pa.float64(), mask=none),
+            }))
+        return pa.concat_tables(out)
+
+    partial = asked.groupBy("_q", "_c").cogroup(others.groupBy("_q", "_c")).applyInArrow(
+        run, "id long, encoder string, place int, match long, score double"
+    )
+    return best_candidate(partial, ("id", "encoder", "place"), "score", "match", "match").withColumnRenamed("id", id)
+
+
 def decided(best: DataFrame, high: float = 0.85, low: float = 0.50) -> DataFrame:
     """``best`` with its decision; a clear mismatch names no match, an unavailable score reads 0."""
     verdict = decision(F.col("score"), high, low)

@@ -12,25 +12,13 @@ from quillspan.runtime import table
 HIGH, LOW = 0.35, 0.25
 THRESHOLDS = (0.0, 0.05, 0.1, 0.2, 0.3)
 KEYS = ("vec_id", "encoder")
+#: Name and how many of the first members are used.
+ENCODERS = (("full64", None), ("half32", 32))
 
 
 def _best(spark: SparkSession, d: str) -> DataFrame:
-    """Best other vector of the same label for every tenth vector, by two encoders."""
-    rows = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
-    asked = rows.where("vec_id % 10 = 0")
-    gold = rows.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("gold_id"), "label", F.col("embedding").alias("e"))
-    pairs = asked.join(gold, "label")
-    both = F.inline(
-        F.array(
-            F.struct(F.lit("full64").alias("encoder"), F.lit(0).alias("place"), cosine(F.col("embedding"), F.col("e")).alias("score")),
-            F.struct(
-                F.lit("half32").alias("encoder"), F.lit(1).alias("place"),
-                cosine(F.slice("embedding", 1, 32), F.slice("e", 1, 32)).alias("score"),
-            ),
-        )
-    )
-    scored = pairs.select("vec_id", "gold_id", both).withColumn("score", F.round("score", 9))
-    best = similarity.best_candidate(scored, ("vec_id", "encoder", "place"), "score", "gold_id", "gold_id")
+    """Best other vector of the whole table for every vector, by two encoders."""
+    best = similarity.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", ENCODERS)
     return best.withColumn("best_match", F.col("best_match").cast("string"))
 
 
