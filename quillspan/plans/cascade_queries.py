@@ -76,8 +76,7 @@ def report_html(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model_comparison(spark: SparkSession, d: str) -> DataFrame:
-    found = reports.model_comparison(scoring.events(spark, d))
-    return found.select("item_id", "attribute", F.size("answers").alias("n"))
+    return reports.model_comparison(scoring.events(spark, d), scoring.responses(spark, d))
 
 
 def extraction_prompts(spark: SparkSession, d: str) -> DataFrame:

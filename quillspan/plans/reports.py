@@ -41,10 +41,19 @@ def html_rows(events: DataFrame) -> DataFrame:
     return events.select("model", "item_id", "attribute", "result", F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("html"))
 
 
-def model_comparison(events: DataFrame) -> DataFrame:
-    """``item_id, attribute, answers``: what each model answered, with its outcome, one row per attribute."""
-    entry = F.struct("model", "pos", "value", "outcome")
-    return events.where("outcome <> 'miss'").groupBy("item_id", "attribute").agg(F.array_sort(F.collect_list(entry)).alias("answers"))
+def model_comparison(events: DataFrame, responses: DataFrame) -> DataFrame:
+    """``abstract_id, attribute, models, answers``: what all models answered on one abstract, side by side.
+
+    ``responses`` has the ``abstract_id`` of each ``item_id``; responses without an abstract
+    have nothing to be compared with. ``models`` counts the models that answered, ``answers``
+    has the values of each with their outcomes, by model, response and position.
+    """
+    entry = F.struct("model", "item_id", "pos", "value", "outcome")
+    of = responses.where(F.col("abstract_id").isNotNull()).select("item_id", "abstract_id")
+    said = events.where("outcome <> 'miss'").join(of, "item_id").groupBy("abstract_id", "attribute").agg(
+        F.array_sort(F.collect_list(entry)).alias("answers")
+    )
+    return said.select("abstract_id", "attribute", F.size(F.array_distinct("answers.model")).alias("models"), "answers")
 
 
 def write_run(events: DataFrame, scores: DataFrame, folder: str) -> None:
