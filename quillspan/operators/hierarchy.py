@@ -42,13 +42,15 @@ def hierarchy(
     name=node_name,
     with_path: bool = True,
     with_cycles: bool = True,
+    with_walk: bool = False,
 ) -> DataFrame:
     """One row per node: ``node, root, depth, status`` and, if asked for, ``path``.
 
     ``status`` is ``tree``, ``cycle`` (on a cycle) or ``below`` (leads into one); with
     ``with_cycles=False`` both of the latter read ``below``. ``path`` lists the nodes from
     the root to the node itself. Off the trees ``root`` is empty, ``depth`` -1 and
-    ``path`` null.
+    ``path`` null. ``with_walk`` adds ``walk``, null on the trees: the nodes met from an
+    off-tree node upwards, itself first, each once, so up to and around the cycle.
 
     Nulls: rows whose node is null or blank are no nodes. A parent that is null, blank or
     names no node makes a root. Repeated rows count once; of rows that give one node
@@ -71,6 +73,7 @@ def hierarchy(
         F.when(F.col("_ptr").isNull(), 0).otherwise(1).alias("dist"),
         F.col("_ptr").isNull().alias("done"),
     )
+    with_path = with_path or with_walk
     if with_path:
         start = start.withColumn("path", F.array("node"))
     state = cut(start)
@@ -95,6 +98,8 @@ def hierarchy(
             images = now
         on_cycle = open_.select(F.col("ptr").alias("node")).distinct().withColumn("_on", F.lit(True))
     out = state if on_cycle is None else state.join(on_cycle, "node", "left")
+    if with_walk:
+        out = out.join(_walks(state.where(~F.col("done")), left), "node", "left")
     status = F.when(F.col("done"), "tree")
     if on_cycle is not None:
         status = status.when(F.col("_on"), "cycle")
@@ -106,7 +111,26 @@ def hierarchy(
     ]
     if with_path:
         columns.append(F.when(F.col("done"), F.reverse("path")).alias("path"))
-    return out.select(*columns)
+    return out.select(*columns, *(["walk"] if with_walk else []))
+
+
+def _walks(state: DataFrame, left: int) -> DataFrame:
+    """``node, walk`` of the ``left`` unresolved nodes: doubled on until each walk meets a node again.
+
+    A finished walk has all that is above its node, so one that runs into it is finished too.
+    """
+    again = F.size(F.array_distinct("walked")) < F.size("walked")
+    walks = state.select("node", "ptr", F.col("path").alias("walked")).withColumn("closed", again)
+    walks = walks.withColumn("walked", F.array_distinct("walked"))
+    while left:
+        far = walks.select(F.col("node").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("walked").alias("_walked"), F.col("closed").alias("_closed"))
+        open_ = walks.where(~F.col("closed")).join(far, "ptr").select(
+            "node", F.col("_ptr").alias("ptr"), F.concat("walked", "_walked").alias("walked"), "_closed"
+        )
+        jumped = open_.withColumn("closed", F.col("_closed") | again).drop("_closed").withColumn("walked", F.array_distinct("walked"))
+        walks = cut(walks.where("closed").unionByName(jumped))
+        left = walks.where(~F.col("closed")).count()
+    return walks.select("node", F.col("walked").alias("walk"))
 
 
 def _double(state: DataFrame, with_path: bool) -> DataFrame:
@@ -132,11 +156,12 @@ def _double(state: DataFrame, with_path: bool) -> DataFrame:
 def descendants(tree: DataFrame) -> DataFrame:
     """``ancestor, node, distance``: every node below each ancestor, from ``hierarchy`` paths.
 
-    Nodes without a path (on or below a cycle) have no row; neither have leaves.
+    Nodes on or below a cycle have their rows from ``walk``: every other node that is met
+    upwards from them is an ancestor, at its first distance, so the members of a cycle are
+    ancestors of each other, none of itself. Without ``walk`` in ``tree`` they have no row.
     """
-    steps = tree.where(F.col("path").isNotNull()).select(
-        "node", F.size("path").alias("_n"), F.posexplode("path").alias("_at", "ancestor")
-    )
-    return steps.where(F.col("_at") < F.col("_n") - 1).select(
-        "ancestor", "node", (F.col("_n") - 1 - F.col("_at")).cast("int").alias("distance")
-    )
+    upwards = F.reverse("path")
+    if "walk" in tree.columns:
+        upwards = F.coalesce(upwards, "walk")
+    steps = tree.select("node", F.posexplode(upwards).alias("_at", "ancestor"))
+    return steps.where("_at > 0").select("ancestor", "node", F.col("_at").cast("int").alias("distance"))

@@ -24,7 +24,7 @@ def p3_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return descendants(hierarchy(table(spark, d, "ontology_class"), with_cycles=False))
+    return descendants(hierarchy(table(spark, d, "ontology_class"), with_cycles=False, with_walk=True))
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
