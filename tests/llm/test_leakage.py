@@ -37,31 +37,57 @@ def corpus():
     return docs, items, truth | {(903, 103)}
 
 
-def test_planted_cases_and_blocks(spark):
+def test_planted_cases_both_ways(spark):
     docs, items, truth = corpus()
     d = spark.createDataFrame(docs + docs[:5], "doc_id long, text string, lang string")
     i = spark.createDataFrame(items + items[:3], "item_id long, abstract string, lang string, words int")
     assert {tuple(r) for r in k.leaked(d, i).collect()} == truth
-    assert {tuple(r) for r in k.leaked(d, i, block=7).collect()} == truth
-
-
-def test_prefix_filter_loses_nothing(spark):
-    """Against every window of every document, without the filter."""
-    docs, items, _ = corpus()
-    i = spark.createDataFrame(items, "item_id long, abstract string, lang string, words int")
-    rows = [r.asDict() for r in k.weighted(k.passages_of(i, "item_id", "abstract", "lang", 14)).collect()]
-    index = k.Index.build(sorted(rows, key=lambda r: r["_id"]), 0.4)
-    numbers = k.Numbers(index.vocabulary)
-    texts = [t for _, t, _ in docs[:60]]
-    found = set(k.search(index, texts, 0.72, numbers))
-    brute = set()
-    for t, text in enumerate(texts):
-        ids = k.np.array([numbers[w] for w in k.raw_words(text)])
-        for p, (w, g) in enumerate(zip(index.words, index.weights)):
-            size = len(w) + 2 * k.SLACK
-            if any(k.heaviest_common(w, g, ids[lo : lo + size]) >= 0.72 for lo in range(0, max(1, len(ids) - size + 1), 4)):
-                brute.add((t, p))
-    assert brute <= found
+    assert {tuple(r) for r in k.leaked(d, i, broadcast_bytes=0).collect()} == truth
+
+
+def edits_between(passage, words):
+    """Least number of edits between the passage and any part of the words, cell by cell."""
+    row = [0] * (len(words) + 1)
+    for i, x in enumerate(passage, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(words, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return min(row)
+
+
+def heavily_changed(rng, text):
+    """Up to a third of the words changed, left out or added, light ones as often as others."""
+    words = text.split()
+    for i in rng.sample(range(len(words)), rng.randrange(len(words) // 3 + 1)):
+        words[i] = rng.choice(["", "changed", words[i] + " added", rng.choice(COMMON)])
+    return " ".join(words)
+
+
+def test_filter_and_check_lose_nothing(spark):
+    """240 passages with up to a third of their words changed, against brute force over all of them."""
+    rng = random.Random(11)
+    items = [(1000 + i, sentence(rng, rng.randrange(14, 30)), "en") for i in range(240)]
+    docs = [(i, " ".join([sentence(rng, 9), heavily_changed(rng, text), sentence(rng, 9)])) for i, (_, text, _) in enumerate(items)]
+    passages = {item: k.words_of(text) for item, text, _ in items}
+    truth = set()
+    for doc, text in docs:
+        words = k.words_of(text)
+        for item, own in passages.items():
+            if len(set(own) & set(words)) * 2 > len(set(own)) and edits_between(own, words) <= k.edits_of(len(own), 0.75):
+                truth.add((doc, item))
+    assert 80 < len(truth) < 240
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, abstract string, lang string")
+    assert {tuple(r) for r in k.leaked(d, i).collect()} == truth
+    assert {tuple(r) for r in k.leaked(d, i, broadcast_bytes=0).collect()} == truth
+
+
+def test_check_of_windows():
+    rng = random.Random(3)
+    for _ in range(300):
+        own, window = [rng.randrange(1, 5) for _ in range(6)], [rng.randrange(1, 5) for _ in range(rng.randrange(10))]
+        padded = k.np.array([window + [0] * (10 - len(window))])
+        for edits in range(4):
+            assert k.within_edits(k.np.array([own]), padded, edits)[0] == (edits_between(own, window) <= edits)
 
 
 def test_words():
@@ -73,3 +99,13 @@ def test_empty(spark):
     i = spark.createDataFrame([], "item_id long, abstract string, lang string")
     full = spark.createDataFrame([(1, "x " * 20, "en")], "item_id long, abstract string, lang string")
     assert k.leaked(d, full).collect() == [] and k.leaked(d, i).collect() == []
+    assert k.leaked(d, full, broadcast_bytes=0).collect() == [] and k.leaked(d, i, broadcast_bytes=-1).collect() == []
+
+
+def test_null_keys_and_very_long_sentences(spark):
+    rng = random.Random(4)
+    body = sentence(rng, 2000)
+    d = spark.createDataFrame([(None, body), (None, "x " + body.replace("w1 ", "")), (5, " ".join(body.split()[:1400]))], "doc_id long, text string")
+    i = spark.createDataFrame([(9, body, None)], "item_id long, abstract string, lang string")
+    for size in (0, 10**9):
+        assert {tuple(r) for r in k.leaked(d, i, broadcast_bytes=size).collect()} == {(None, 9)}
