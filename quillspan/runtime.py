@@ -49,3 +49,13 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     every place that refers to it, filters included.
     """
     return df.withColumn(name, F.explode(F.array(value)))
+
+
+def delivered_once(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with rows that were delivered repeatedly, unchanged, counted once.
+
+    Rows of null key have nothing that shows a repeat and all stay. Different rows under
+    one key stay too. The comparison is by hash, without sorting the columns.
+    """
+    lone = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    return df.withColumn("_lone", lone).distinct().drop("_lone")
