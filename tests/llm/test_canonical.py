@@ -80,3 +80,49 @@ def test_random_slips_are_found():
             t[rng.randrange(len(t))] = rng.choice(string.ascii_lowercase)
             found = matcher.best(["".join(t)])[0]
             assert found and found[2] == {entry}
+
+
+def test_codes_and_near_forms_in_any_shard(spark):
+    """A code of one entry and the near form of another answer the same, whatever the shard."""
+    entries = [("A", "SEIR"), ("B", "seirs"), ("C", "CALM"), ("D", "calms model"), ("E", "calms"), ("F", "harbour closures"), ("G", "harbour closure")]
+    terms = spark.createDataFrame([("f", e, t) for e, t in entries], "field string, entry string, term string")
+    asked = ["seirz", "seirs", "SEIR", "seir", "calm", "calms", "clams", "harbour closurs", "harbour closurez", "the of mainly harbour closure", "closure, harbour"]
+    values = spark.createDataFrame([(i, "f", 0, v) for i, v in enumerate(asked)], "key long, field string, pos int, value string")
+    whole = {r.key: r.entry for r in c.match(values, terms).collect()}
+    matcher = c.Matcher(entries)
+    assert whole == {i: (min(x[2]) if x and len(x[2]) == 1 else "") for i, x in enumerate(matcher.best(asked))}
+    for shards in (2, 3, 7):
+        assert {r.key: r.entry for r in c.match(values, terms, limit=0, shards=shards, blocks=2).collect()} == whole
+
+
+def test_all_readings_are_read():
+    words = [f"w{i}" for i in range(8)]
+    assert c.plain("w7 w0 w1 w2 w3 w4 w5 w6") in c.readings(", ".join(words))
+    assert c.readings(", ".join(words * 400), 60) == []
+    assert c.readings("the " * 300 + "ticks", 6)[-1] == "ticks"
+
+
+def test_swaps_slips_and_trees_against_brute_force():
+    rng = random.Random(9)
+    terms = sorted({"".join(rng.choice("abcd ") for _ in range(rng.randint(5, 9))).strip() for _ in range(300)})
+    forms = {t: c.Form(c.EXACT, t, t, False) for t in map(c.plain, terms) if len(t) > c.SHORT}
+    matcher = c.Matcher(forms=forms)
+    assert sorted(matcher.trees[0].terms) == sorted(forms)
+    values = ["".join(rng.choice("abcd") for _ in range(rng.randint(5, 9))) for _ in range(400)]
+    for v, found in zip(values, matcher.best(values)):
+        near = {t for t in forms for s in c.readings(v) if c.within_one(s, t)}
+        want = {v} & set(forms) or near
+        assert (found[2] if found else set()) == want
+
+
+def test_many_terms_without_driver_trees(spark):
+    terms = spark.range(20_000).selectExpr("'f' as field", "concat('e', id) as entry", "concat(hex(xxhash64(id)), ' ', hex(xxhash64(id, 1))) as term")
+    values = terms.selectExpr("entry as key", "field", "0 as pos", "concat(substr(term, 1, 20), 'Q', substr(term, 22)) as value").where("pmod(xxhash64(key), 20) = 0")
+    got = c.match(values, terms, limit=1000, shard_forms=60_000).collect()
+    assert len(got) == values.count() and all(r.entry == r.key for r in got)
+
+
+def test_null_keys_are_kept(spark):
+    rows = [(None, "f", ["house mice"]), (None, "f", ["house mice"]), (1, "f", ["ixodids"]), (1, "f", ["ixodids"])]
+    values = c.members(spark.createDataFrame(rows, "id int, attr string, vals array<string>"), "id", "attr", "vals")
+    assert sorted((str(r.key), r.value) for r in values.collect()) == [("1", "ixodids"), ("None", "house mice"), ("None", "house mice")]
