@@ -7,14 +7,17 @@ resolved after about log2(d) rounds. Nodes of each smaller depth are resolved ea
 a round that resolves nobody proves that the rest never reach a root: they stand on a
 cycle or below one.
 
-Each round is one equi-join whose right side has one row per node. A parent that holds
-a large share of all children is a hot key of the left side only, which adaptive skew
-joins split; no group is ever gathered.
+Each round is one equi-join whose right side has one row per node, and one job: resolved
+nodes are set apart and not written again, and the open ones are counted while they are
+written. A parent that holds a large share of all children is a hot key of the left side
+only, which adaptive skew joins split; no group is ever gathered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillspan.runtime import cut
@@ -66,6 +69,7 @@ def hierarchy(
         .agg(F.min(F.when(name(F.col("_parent")).isNotNull(), F.col("_parent"))).alias("_parent"))
         .withColumn("_up", name(F.col("_parent")))
     )
+    nodes = cut(nodes)
     targets = nodes.groupBy(F.col("_key").alias("_t")).agg(F.min("_node").alias("_ptr"))
     start = nodes.join(targets, F.col("_up") == F.col("_t"), "left").select(
         F.col("_node").alias("node"),
@@ -76,14 +80,18 @@ def hierarchy(
     with_path = with_path or with_walk
     if with_path:
         start = start.withColumn("path", F.array("node"))
-    state = cut(start)
-    left = state.where(~F.col("done")).count()
+    rounds, left = [], -1
+    open_ = start
     while left:
-        state = cut(_double(state, with_path))
-        now = state.where(~F.col("done")).count()
+        # what this round resolved, and what it left open
+        part, now = _counted(open_)
+        rounds.append(part.where("done"))
+        open_ = part.where(~F.col("done"))
+        state = reduce(DataFrame.unionByName, [*rounds, open_])
         if now == left:
             break
         left = now
+        open_ = _double(open_, state, with_path)
     on_cycle = None
     if left and with_cycles:
         # Images of the unresolved nodes shrink until they are the cycles themselves.
@@ -133,9 +141,15 @@ def _walks(state: DataFrame, left: int) -> DataFrame:
     return walks.select("node", F.col("walked").alias("walk"))
 
 
-def _double(state: DataFrame, with_path: bool) -> DataFrame:
+def _counted(part: DataFrame) -> tuple[DataFrame, int]:
+    """The rows cut from their lineage, and how many are open, in one job."""
+    seen = Observation()
+    part = cut(part.observe(seen, F.count_if(~F.col("done")).alias("open")))
+    return part, seen.get["open"]
+
+
+def _double(open_: DataFrame, state: DataFrame, with_path: bool) -> DataFrame:
     """Each unresolved node takes over the pointer of the node it points at."""
-    done, open_ = state.where("done"), state.where(~F.col("done"))
     far = state.select(
         F.col("node").alias("ptr"),
         F.col("ptr").alias("_ptr"),
@@ -143,14 +157,13 @@ def _double(state: DataFrame, with_path: bool) -> DataFrame:
         F.col("done").alias("_done"),
         *([F.col("path").alias("_path")] if with_path else []),
     )
-    jumped = open_.join(far, "ptr").select(
+    return open_.join(far, "ptr").select(
         "node",
         F.col("_ptr").alias("ptr"),
         (F.col("dist") + F.col("_dist")).alias("dist"),
         F.col("_done").alias("done"),
         *([F.concat("path", "_path").alias("path")] if with_path else []),
     )
-    return done.unionByName(jumped)
 
 
 def descendants(tree: DataFrame) -> DataFrame:

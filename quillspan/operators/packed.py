@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.runtime import delivered_once
+
 SPACE = np.isin(np.arange(256), list(b" \t\r\n\v\f"))
 DIGIT = np.isin(np.arange(256), list(b"0123456789"))
 LOWER = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz"))
@@ -26,8 +28,24 @@ EDGE = SPACE | np.isin(np.arange(256), list(b",;|/[]"))
 MARKS = ("•", "‣", "▪", "；", "，", "、")
 # Words and signs that join the last value to the list after a comma.
 JOINING = r"^(?:and|&)\s+"
-ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10,
-         "xi": 11, "xii": 12, "xiii": 13, "xiv": 14, "xv": 15}
+# The signs of roman numbers, greatest first.
+ROMAN = ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i"))
+
+
+def label_of(kind: str, n: int) -> str:
+    """The n-th label of a numbering: ``12``, ``l`` (then ``aa`` after ``z``) or ``xii``."""
+    out = ""
+    if kind == "number":
+        return str(n)
+    if kind == "letter":
+        while n:
+            n, place = divmod(n - 1, 26)
+            out = chr(97 + place) + out
+        return out
+    for value, sign in ROMAN:
+        out += sign * (n // value)
+        n %= value
+    return out
 
 
 def split_batch(values: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -160,16 +178,13 @@ def _numbering(buf, row, first, begin, before, after, at, inside) -> tuple[np.nd
     last = np.flatnonzero(((buf == 41) | (buf == 46)) & ~inside & SPACE[after] & (at > begin))
     if len(last) == 0:
         return none, none
-    length, alive = np.zeros(len(last), np.int64), np.ones(len(last), bool)
-    numeric = np.ones(len(last), bool)
-    for k in range(1, 6):
-        p = last - k
-        ok = p >= begin[last]
-        c = buf[np.maximum(p, 0)]
-        alive &= ok & (DIGIT[c] | LOWER[c])
-        length += alive
-        numeric &= ~alive | DIGIT[c]
-    start = last - length
+    # a label is the whole run of digits and small letters before the mark
+    digit, sign = DIGIT[buf], DIGIT[buf] | LOWER[buf]
+    broken = np.maximum.accumulate(np.where(sign, -1, at))
+    start = np.maximum(broken[last - 1] + 1, begin[last])
+    length = last - start
+    digits = np.concatenate([[0], np.cumsum(digit)])
+    numeric = digits[last] - digits[start] == length
     bracket = (start > begin[last]) & (buf[np.maximum(start - 1, 0)] == 40) & (buf[last] == 41)
     start = start - bracket
     lead = np.where(start > begin[last], before[start], 10)
@@ -190,13 +205,7 @@ def _numbering(buf, row, first, begin, before, after, at, inside) -> tuple[np.nd
                 style, due = (kind, bool(bracket[i]), int(buf[last[i]])), 1
         if style is None or (bool(bracket[i]), int(buf[last[i]])) != style[1:]:
             continue
-        if style[0] == "number":
-            value = int(word) if word.isdigit() else -1
-        elif style[0] == "letter":
-            value = ord(word) - 96 if len(word) == 1 and word.isalpha() else -1
-        else:
-            value = ROMAN.get(word, -1)
-        if value == due:
+        if word == label_of(style[0], due) or (style[0] == "number" and word.lstrip("0") == str(due)):
             keep[i], due = True, due + 1
     return start[keep], last[keep]
 
@@ -219,13 +228,11 @@ def split_packed(rows: DataFrame, key: str, value: str) -> DataFrame:
 
     ``pos`` counts from 0 over the values that are not blank, ``n_items`` is their number.
     Fields that are null, empty or hold nothing but separators have no row; repeated
-    values within a field keep a row each. Rows delivered more than once count once, by
-    ``key``; of different texts under one key the smallest counts, and null keys are one
-    key. An empty table gives an empty result; other columns are ignored.
+    values within a field keep a row each. Rows delivered more than once, unchanged, count
+    once; different texts under one key keep their rows, and so do rows of null key. An
+    empty table gives an empty result; other columns are ignored.
     """
-    one = rows.select(F.col(key).alias("_key"), F.col(value).alias("_value")).groupBy("_key").agg(
-        F.min("_value").alias("_value")
-    )
+    one = delivered_once(rows.select(F.col(key).alias("_key"), F.col(value).alias("_value")), "_key")
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

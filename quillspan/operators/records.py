@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.runtime import once
+from quillspan.runtime import delivered_once, once
 
 MARK = "\x01"
 
@@ -125,13 +125,12 @@ def parse_records(
     null, in a text field as the empty string.
 
     A null record has the fault ``columns``, as has an empty one. Records delivered more
-    than once count once, by ``key``; of different texts under one key the smallest counts,
-    and rows whose key is null are kept as one record of null key. An empty table gives an
-    empty result; other columns, even ones named like the fields, are ignored.
+    than once, unchanged, count once; different texts under one key keep a row each, and so
+    do records of null key. They are counted after they are parsed, so that whoever takes
+    only the sound or the faulty ones shuffles only those. An empty table gives an empty
+    result; other columns, even ones named like the fields, are ignored.
     """
-    one = rows.select(F.col(key).alias("_key"), F.col(line).alias("_line")).groupBy("_key").agg(
-        F.min("_line").alias("_line")
-    )
+    one = rows.select(F.col(key).alias("_key"), F.col(line).alias("_line"))
     text = F.coalesce(F.col("_line"), F.lit(""))
     cut = once(one, "_pieces", pieces_of(text))
     cut = once(cut, "_formed", well_formed(F.col("_pieces")))
@@ -160,7 +159,8 @@ def parse_records(
         if cast and f.type != "string":
             value = F.nullif(value, F.lit("")).try_cast(f.type)
         typed.append(F.when(F.size("faults") == 0, value).alias(f.name))
-    return marked.select(F.col("_key").alias(key), *typed, "faults", "bad_fields", F.col("_line").alias("raw"))
+    parsed = marked.select(F.col("_key").alias("_id"), *typed, "faults", "bad_fields", F.col("_line").alias("raw"))
+    return delivered_once(parsed, "_id").withColumnRenamed("_id", key)
 
 
 def sound(parsed: DataFrame) -> DataFrame:

@@ -69,3 +69,20 @@ def test_table(spark):
         ("1", 0, "a", 2), ("1", 1, "b", 2), ("3", 0, "x", 2), ("3", 1, "y", 2), ("None", 0, "p", 2), ("None", 1, "q", 2),
     ]
     assert split_packed(spark.createDataFrame([], "k long, v string"), "k", "v").collect() == []
+
+
+def test_long_numberings():
+    from quillspan.operators.packed import label_of
+
+    assert [label_of("roman", n) for n in (4, 14, 40, 49, 99, 1994)] == ["iv", "xiv", "xl", "xlix", "xcix", "mcmxciv"]
+    assert [label_of("letter", n) for n in (1, 26, 27, 702, 703)] == ["a", "z", "aa", "zz", "aaa"]
+    for kind, marks in (("roman", "({})"), ("letter", "{})"), ("number", "{}.")):
+        items = [f"item {kind} of {n * n}" for n in range(1, 1201)]
+        packed = " ".join(marks.format(label_of(kind, n)) + " " + x for n, x in enumerate(items, 1))
+        assert split([packed, packed]) == [items, items]
+
+
+def test_rows_of_null_key_all_stay(spark):
+    rows = [(None, "a;b"), (None, "a;b"), (None, "c"), (1, "a"), (1, "a"), (1, "d")]
+    got = split_packed(spark.createDataFrame(rows, "k long, v string"), "k", "v").collect()
+    assert sorted((str(r.k), r["item"]) for r in got) == [("1", "a"), ("1", "d"), ("None", "a"), ("None", "a"), ("None", "b"), ("None", "b"), ("None", "c")]

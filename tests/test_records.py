@@ -65,3 +65,10 @@ def test_loaded_columns_and_long_text(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], "record_id long, raw_line string")
     assert parse_records(empty, "record_id", "raw_line", RESPONSE_EXPORT).collect() == []
+
+
+def test_records_of_null_key_all_stay(spark):
+    rows = [(None, GOOD), (None, GOOD), (None, "x"), (None, "x"), (1, GOOD), (1, GOOD), (2, None), (2, None)]
+    parsed = parse_records(spark.createDataFrame(rows, "record_id long, raw_line string"), "record_id", "raw_line", RESPONSE_EXPORT)
+    assert sorted(str(r.record_id) for r in sound(parsed).collect()) == ["1", "None", "None"]
+    assert sorted((str(r.record_id), r.fault) for r in faulty(parsed, "record_id").collect()) == [("2", "columns"), ("None", "columns"), ("None", "columns")]
