@@ -63,25 +63,33 @@ def _units(rows: pa.Table, dims: int | None) -> dict[int, tuple[np.ndarray, np.n
     return {n: (np.array([i for i, _ in xs]), np.array([a for _, a in xs])) for n, xs in found.items()}
 
 
-def nearest(rows: DataFrame, id: str, vector: str, encoders: Sequence[tuple[str, int | None]], block: int = 500) -> DataFrame:
-    """``id, encoder, place, best_match, score``: the best other vector of all, for every vector.
+def nearest(
+    rows: DataFrame, id: str, vector: str, encoders: Sequence[tuple[str, int | None]], block: int = 500, asked: Column | None = None
+) -> DataFrame:
+    """``id, encoder, place, best_match, score``: the best other vector of all, for every vector asked.
+
+    ``asked`` is a condition on ``rows`` that says which vectors ask, all of them without it;
+    what may be the answer is always every row.
 
     An encoder is a name and how many of the first members it uses (all for None); ``place``
     is its position. The score is the cosine clamped to 0..1, at 9 digits; of equal ones the
     smallest id is named. A vector without a direction, or without another of its length,
     keeps a row of null score.
 
-    Ids are salted into blocks of about ``block`` rows. Each pair of blocks is one product of
-    matrices, from which one row per vector and encoder leaves; the maximum over the blocks
-    is an aggregation. Every pair is scored, so the work grows with the square of the rows;
-    each row is sent twice to as many groups as there are blocks.
+    Ids are salted into blocks of about ``block`` rows, those that ask and all rows each by
+    their own number. Each pair of blocks is one product of matrices, from which one row per
+    vector and encoder leaves; the maximum over the blocks is an aggregation. Every asked
+    vector meets every row, so the work grows with the product of both numbers; a row is sent
+    to as many groups as there are blocks of asked vectors.
     """
-    held = rows.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("vector"))
-    n = max(1, -(-held.count() // block))
-    part = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = held.select("id", "vector", part.alias("_q"), every.alias("_c"))
-    others = held.select("id", "vector", every.alias("_q"), part.alias("_c"))
+    held = rows.select(
+        F.col(id).cast("long").alias("id"), F.col(vector).alias("vector"), (F.lit(True) if asked is None else asked).alias("_ask")
+    )
+    sizes = held.agg(F.count("*").alias("n"), F.count_if("_ask").alias("asked")).first()
+    n, m = (max(1, -(-sizes[c] // block)) for c in ("n", "asked"))
+    part, asking = (F.pmod(F.xxhash64("id"), F.lit(k)).cast("int") for k in (n, m))
+    asked = held.where("_ask").select("id", "vector", asking.alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_c"))
+    others = held.select("id", "vector", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_q"), part.alias("_c"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("id")

@@ -39,8 +39,16 @@ def test_against_brute_force(spark, block):
             assert got[i] == (match, score if score is None else pytest.approx(score, abs=2e-9)), (name, i)
 
 
-def test_answers_divisible_by_ten_and_of_other_labels(spark, tmp_path):
-    rows = [(1, 0, [1.0, 0.0]), (10, 1, [1.0, 0.1]), (20, 0, [0.0, 1.0]), (23, 2, [0.2, 1.0])]
+def test_ids_divisible_by_twenty_ask_all_others(spark, tmp_path):
+    rows = [(1, 0, [1.0, 0.0]), (10, 1, [1.0, 0.1]), (20, 0, [0.0, 1.0]), (23, 2, [0.2, 1.0]), (40, 1, [1.0, 0.01]), (60, 3, None)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {(r.vec_id, r.best_match) for r in similarity_queries.cosine_best(spark, str(tmp_path)).where("encoder = 'full64'").collect()}
-    assert got == {(1, "10"), (10, "1"), (20, "23"), (23, "20")}
+    assert got == {(20, "23"), (40, "1"), (60, None)}
+
+
+def test_answers_to_some_are_those_to_all(spark):
+    rng = random.Random(4)
+    rows = spark.createDataFrame([(i, 0, [rng.uniform(-1, 1) for _ in range(5)]) for i in range(150)], SCHEMA)
+    every = {tuple(r) for r in nearest(rows, "vec_id", "embedding", [("all", None)], 20).where("vec_id % 20 = 0").collect()}
+    some = {tuple(r) for r in nearest(rows, "vec_id", "embedding", [("all", None)], 20, asked=rows.vec_id % 20 == 0).collect()}
+    assert len(some) == 8 and some == every
