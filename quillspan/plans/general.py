@@ -81,10 +81,12 @@ from edge e left join tree t on e.iri = t.iri
 """,
     "p3_descendants": _TREE
     + """,
-above(ancestor, node, distance) as (
-  select e.parent, e.iri, 1 from edge e join tree t on e.iri = t.iri where e.parent is not null
+-- every other class met upwards, at its first distance; a walk that meets a class again has come round a cycle
+above(ancestor, node, distance, met) as (
+  select parent, iri, 1, [iri, parent] from edge where parent is not null and parent <> iri
   union all
-  select e.parent, a.node, a.distance + 1 from above a join edge e on a.ancestor = e.iri where e.parent is not null)
+  select e.parent, a.node, a.distance + 1, list_append(a.met, e.parent) from above a join edge e on a.ancestor = e.iri
+  where e.parent is not null and not list_contains(a.met, e.parent))
 select ancestor, node, cast(distance as integer) as distance from above
 """,
     "p3_paths": _TREE

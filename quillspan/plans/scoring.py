@@ -196,6 +196,14 @@ def sql_absent(x: str) -> str:
 
 _BASE = rf"""
 with response as (select distinct response_id as item_id, abstract_id, coalesce(model, '') as model from llm_response),
+-- the answers that are scored: those that can be read as an object with fields, and those of which fields were parsed
+repaired as (
+  select response_id, try_cast(regexp_replace(regexp_extract(max(content), '(?s)(\{{.*\}})', 1), ',\s*([}}\]])', '\1', 'g') as json) as body
+  from llm_response group by 1),
+answered as (
+  select item_id, model from response where item_id in (
+    select response_id from repaired where json_type(body) = 'OBJECT' and len(json_keys(body)) > 0
+    union select response_id from extraction)),
 field as (
   select abstract_id, je.key as attribute, je.value as g
   from (select distinct abstract_id, expected from abstract_item) a, json_each(a.expected::json) je),
@@ -260,11 +268,11 @@ event as (
   where not exists (select 1 from field f join response r using (abstract_id) where r.item_id = e.item_id and f.attribute = e.attribute)
   union all
   select g.item_id, x.model, g.attribute, g.pos, 'miss', g.stripped, null, null
-  from gold_long g join (select distinct item_id, model from extracted) x using (item_id)
+  from gold_long g join answered x using (item_id)
   where not exists (select 1 from hit h where h.item_id = g.item_id and h.attribute = g.attribute and h.matched = g.value)),
 per_item as (
   select x.item_id, x.model, coalesce(h.hits, 0) as hits, coalesce(h.misses, 0) as misses, coalesce(h.fps, 0) as fps, coalesce(t.n, 0) as total_expected
-  from (select distinct item_id, model from extracted) x
+  from answered x
   left join (select item_id, count(*) filter (outcome = 'hit') as hits, count(*) filter (outcome = 'miss') as misses,
       count(*) filter (outcome = 'false_positive') as fps from event group by 1) h using (item_id)
   left join (select item_id, count(*) as n from gold group by 1) t using (item_id))
