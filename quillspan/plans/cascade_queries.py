@@ -79,6 +79,16 @@ def model_comparison(spark: SparkSession, d: str) -> DataFrame:
     return reports.model_comparison(scoring.events(spark, d), scoring.responses(spark, d))
 
 
+def model_answers(spark: SparkSession, d: str) -> DataFrame:
+    """What each model answered on an abstract's attribute, as one line."""
+    return reports.answer_lines(scoring.events(spark, d), scoring.responses(spark, d))
+
+
+def report_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The overall table of a run: responses, counts and micro-averages by model."""
+    return reports.summary(scoring.score_items(spark, d))
+
+
 def extraction_prompts(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "abstract_item").groupBy("abstract_id").agg(F.max("abstract").alias("abstract"))
     return items.select("abstract_id", extraction_prompt([INSTRUCTIONS], F.coalesce("abstract", F.lit(""))).alias("prompt"))
@@ -93,7 +103,7 @@ def judge_prompts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (cascade_events, cascade_methods, report_text, report_html, model_comparison, extraction_prompts, judge_prompts)
+    for f in (cascade_events, cascade_methods, report_text, report_html, report_summary, model_comparison, model_answers, extraction_prompts, judge_prompts)
 }
 SQL = {
     "extraction_prompts": "select abstract_id, '"
@@ -110,5 +120,14 @@ select model, item_id, attribute, result, '<tr>' || array_to_string(list_transfo
   lambda x: '<td>' || replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</td>'), '') || '</tr>' as html
 from shown""",
     "model_comparison": scoring._BASE
-    + "select item_id, attribute, cast(count(*) as integer) as n from event where outcome <> 'miss' group by all",
+    + """select r.abstract_id, e.attribute, cast(count(distinct e.model) as integer) as models,
+  list(struct_pack(model := e.model, item_id := e.item_id, pos := e.pos, value := e.value, outcome := e.outcome)
+    order by e.model, e.item_id, e.pos) as answers
+from event e join response r using (item_id) where e.outcome <> 'miss' and r.abstract_id is not null group by all""",
+    "model_answers": scoring._BASE
+    + """select r.abstract_id, e.attribute, e.model, string_agg(e.value || ' [' || e.outcome || ']', '; ' order by e.item_id, e.pos) as answer
+from event e join response r using (item_id) where e.outcome <> 'miss' and r.abstract_id is not null group by all""",
+    "report_summary": scoring._score_sql("model").replace("select model, hits,", "select model, responses, hits,").replace(
+        "summed as (\n  select model,", "summed as (\n  select model, cast(count(*) as bigint) as responses,"
+    ),
 }

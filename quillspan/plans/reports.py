@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import html_escaped, safe_name
+from quillspan.operators.matching import ratio
 
 
 def report_lines(events: DataFrame, scores: DataFrame) -> DataFrame:
@@ -56,6 +57,28 @@ def model_comparison(events: DataFrame, responses: DataFrame) -> DataFrame:
     return said.select("abstract_id", "attribute", F.size(F.array_distinct("answers.model")).alias("models"), "answers")
 
 
+def answer_lines(events: DataFrame, responses: DataFrame) -> DataFrame:
+    """``abstract_id, attribute, model, answer``: the values of one model with their outcomes, in a line."""
+    of = responses.where(F.col("abstract_id").isNotNull()).select("item_id", "abstract_id")
+    shown = F.struct("item_id", "pos", F.concat("value", F.lit(" ["), "outcome", F.lit("]")).alias("text"))
+    said = events.where("outcome <> 'miss'").join(of, "item_id").groupBy("abstract_id", "attribute", "model").agg(
+        F.array_sort(F.collect_list(shown)).alias("a")  # one model on one attribute of an abstract
+    )
+    return said.select("abstract_id", "attribute", "model", F.array_join("a.text", "; ").alias("answer"))
+
+
+def summary(scores: DataFrame) -> DataFrame:
+    """``model, responses``, counts, recall, precision and f1 over all responses of each model."""
+    counts = ("hits", "misses", "fps", "total_expected")
+    summed = scores.groupBy("model").agg(F.count("*").alias("responses"), *[F.sum(c).alias(c) for c in counts])
+    recall, precision = ratio(F.col("hits"), F.col("total_expected")), ratio(F.col("hits"), F.col("hits") + F.col("fps"))
+    f1 = ratio(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r"))
+    rated = summed.withColumn("r", recall).withColumn("p", precision)
+    return rated.select(
+        "model", "responses", *counts, F.round("r", 6).alias("recall"), F.round("p", 6).alias("precision"), F.round(f1, 6).alias("f1")
+    )
+
+
 def write_run(events: DataFrame, scores: DataFrame, folder: str) -> None:
     """Events as JSON and the report as text, partitioned by a safe form of the model's name."""
     named = lambda df: df.withColumn("run", safe_name(F.col("model")))

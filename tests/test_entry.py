@@ -16,6 +16,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def plain(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else f"{v:.9g}"
+    if isinstance(v, dict):
+        v = list(v.values())
     return [plain(x) for x in v] if isinstance(v, (list, tuple)) else str(v)
 
 
