@@ -84,7 +84,7 @@ def _subjects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return _subjects(spark, d).where("sentence_share >= 0.2").select("doc_id", "subject")
+    return _subjects(spark, d).select("doc_id", "subject")
 
 
 def p10_composition(spark: SparkSession, d: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 A lexicon per language is learned from a bounded sample of hand-labelled documents: each of
 their sentences belongs to one of the document's subjects or to none, and which one is
-estimated together with the words of each subject by expectation-maximization. Over all
-documents, four labelling functions then vote on every subject: the lexicon (the share of
-sentences that belong to the subject), the section (its opening sentence), addresses in the
-text, and the source (how common the subject is in it). The latent model of ``labelling``
-learns their accuracies from the vote patterns of the whole corpus, and documents get the
-subjects whose posterior exceeds the cutoff.
+estimated together with the words of each subject by expectation-maximization. The languages
+are learned from the same sample. Over all documents, labelling functions then vote on every
+subject: the lexicon (the share of sentences that belong to the subject, in bands), the
+section (its opening sentence), addresses in the text, and the source (how common the
+subject is in it). The latent model of ``labelling`` learns their accuracies from the vote
+patterns of the whole corpus and the labels of the sample, and documents get the subjects
+whose posterior exceeds the cutoff: nothing else decides.
 
 Texts are read once for the lexicon's sample and once for the votes, and never shuffled.
 """
@@ -25,18 +26,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.labelling import fit
+from quillspan.llm.language import Languages, learned as learned_languages
 from quillspan.llm.leakage import FOLD, JOINERS, Numbers
-from quillspan.llm.pairs import TELLING
 from quillspan.runtime import cut
 
 TOKEN = re.compile(r"[^\W_]+|[.!?](?=\s)|\n")
 ADDRESS = re.compile(r"\S+@\S+|\w+://\S+|www\.\S+")
-LANGUAGES = tuple(TELLING)
-LEAST_WORDS = 5
 NONE_BONUS = 1.0
 #: How far a hand label is trusted.
 RIGHT = 0.98
 FUNCTIONS = ("lexicon", "section", "address", "source")
+#: Where the model starts from, by the lexicon's vote of 0 to 2 and -4 to -1.
+START = np.array([0.1, 0.95, 0.95, 0.02, 0.02, 0.1, 0.3])
+#: From how many times the wanted share on a share is clear.
+CLEAR = 1.5
 
 
 def tokens_of(text: str) -> list[str]:
@@ -48,11 +51,11 @@ def tokens_of(text: str) -> list[str]:
 
 
 def sentences_of(text: str) -> list[list[str]]:
-    """The words of each sentence of enough words, numbers left out."""
+    """The words of each sentence that has any, numbers left out."""
     out, current = [], []
     for w in [*tokens_of(text), "\n"]:
         if w in ".!?\n":
-            if len(current) >= LEAST_WORDS:
+            if current:
                 out.append(current)
             current = []
         elif not w[0].isdigit():
@@ -60,17 +63,6 @@ def sentences_of(text: str) -> list[list[str]]:
     return out
 
 
-def language_of(words: Counter, given: str | None) -> str:
-    """Language with most telling words, else the one given, else the first."""
-    counts = {lang: sum(words[w] for w in telling) for lang, telling in _FOLDED.items()}
-    best = max(counts, key=counts.get)
-    known = (given or "").strip().lower()
-    return best if counts[best] > 1 else known if known in counts else LANGUAGES[0]
-
-
-_FOLDED = {lang: tuple({w.translate(FOLD) for w in words}) for lang, words in TELLING.items()}
-
-
 def learn(texts: list[list[list[str]]], labels: list[set[int]], subjects: int, rounds: int = 15) -> dict[str, np.ndarray]:
     """Log weights of each word for every subject and, last, for none.
 
@@ -116,18 +108,20 @@ def learn(texts: list[list[list[str]]], labels: list[set[int]], subjects: int, r
 
 def lexicon(
     documents: DataFrame, chosen: DataFrame, areas: DataFrame, names: list[str], key: str, text: str, lang: str
-) -> DataFrame:
-    """``lang, word, weights`` learned from the sample of labelled documents and the descriptions."""
+) -> tuple[DataFrame, Languages]:
+    """``lang, word, weights`` learned from the sample of labelled documents and the descriptions,
+    and the languages of the sample."""
     place = {n: i for i, n in enumerate(names)}
     rows = documents.select(F.col(key).alias("_id"), F.col(text).alias("text"), F.col(lang).alias("given"))
-    taught = rows.join(F.broadcast(chosen), "_id").select("text", "given", "subjects")
+    taught = cut(rows.join(F.broadcast(chosen), "_id").select("text", "given", "subjects"))
+    languages = learned_languages(taught, F.col("text"), F.col("given"))
     described = areas.select(
-        F.concat_ws(". ", "title", "description").alias("text"), F.lit(LANGUAGES[0]).alias("given"), F.array("subject").alias("subjects")
+        F.concat_ws(". ", "title", "description").alias("text"), F.lit(None).cast("string").alias("given"), F.array("subject").alias("subjects")
     )
 
     def spoken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            langs = [language_of(Counter(w for s in sentences_of(t or "") for w in s), g) for t, g in zip(batch["text"], batch["given"])]
+            langs = [languages.of({w for s in sentences_of(t or "") for w in s}, g) for t, g in zip(batch["text"], batch["given"])]
             yield batch.assign(lang=langs)[["lang", "text", "subjects"]]
 
     def teach(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -139,23 +133,25 @@ def lexicon(
 
     every = taught.unionByName(described).mapInPandas(spoken, "lang string, text string, subjects array<string>")
     # one group a language, of at most the sample
-    return every.groupBy("lang").applyInPandas(teach, "lang string, word string, weights array<double>")
+    return every.groupBy("lang").applyInPandas(teach, "lang string, word string, weights array<double>"), languages
 
 
 class Reader:
     """The lexicons of all languages as one table of weights, to read many texts at once."""
 
-    def __init__(self, rows: list, subjects: int):
-        words = sorted({r["word"] for r in rows} | {w for own in _FOLDED.values() for w in own})
+    def __init__(self, rows: list, subjects: int, languages: Languages):
+        words = sorted({r["word"] for r in rows})
         self.vocabulary = {w: i for i, w in enumerate(words)}
         self.subjects = subjects
-        self.weight = np.zeros((len(LANGUAGES), len(words) + 1, subjects + 1), np.float32)
+        self.languages = languages.names or sorted({r["lang"] for r in rows}) or [""]
+        self.weight = np.zeros((len(self.languages), len(words) + 1, subjects + 1), np.float32)
         for r in rows:
-            if r["lang"] in LANGUAGES:
-                self.weight[LANGUAGES.index(r["lang"]), self.vocabulary[r["word"]]] = r["weights"]
-        self.telling = np.zeros((len(LANGUAGES), len(words) + 1), np.float32)
-        for i, lang in enumerate(LANGUAGES):
-            self.telling[i, [self.vocabulary[w] for w in _FOLDED[lang]]] = 1
+            if r["lang"] in self.languages:
+                self.weight[self.languages.index(r["lang"]), self.vocabulary[r["word"]]] = r["weights"]
+        self.speech = np.zeros((len(self.languages), len(words) + 1), np.float32)
+        if languages.names:
+            for w, i in self.vocabulary.items():
+                self.speech[:, i] = languages.of_word(w)
 
     def numbers(self) -> Numbers:
         marks = {".": -2, "!": -2, "?": -2, "\n": -2}
@@ -177,11 +173,11 @@ class Reader:
         word = np.array(ids)
         doc = np.repeat(np.arange(n), np.diff(ends, prepend=0))
         known = np.where(word >= 0, word, self.weight.shape[1] - 1)
-        said = np.stack([np.bincount(doc, self.telling[i, known], minlength=n) for i in range(len(LANGUAGES))], axis=1)
+        said = np.stack([np.bincount(doc, x[known], minlength=n) for x in self.speech], axis=1)
         lang = said.argmax(axis=1)
-        for i in np.flatnonzero(said.max(axis=1) <= 1):
+        for i in np.flatnonzero(~said.any(axis=1)):  # no word that the sample has
             own = (given[i] or "").strip().lower()
-            lang[i] = LANGUAGES.index(own) if own in LANGUAGES else 0
+            lang[i] = self.languages.index(own) if own in self.languages else 0
         sentence = np.concatenate([[0], np.cumsum(word == -2)[:-1]])
         total = int(sentence[-1]) + 1
         length = np.bincount(sentence, word >= -1, minlength=total)
@@ -194,7 +190,7 @@ class Reader:
         topic = score.argmax(axis=1)
         owner = np.zeros(total, int)
         owner[sentence] = doc
-        full = np.flatnonzero(length >= LEAST_WORDS)
+        full = np.flatnonzero(length > 0)
         counts = np.bincount(owner[full] * classes + topic[full], minlength=n * classes).reshape(n, classes)
         opening = np.full(n, -1)
         opening[owner[full[::-1]]] = topic[full[::-1]]
@@ -218,15 +214,17 @@ def subjects_of(
     lang: str = "lang",
     source: str = "source",
     share: float = 0.2,
-    cutoff: float = 0.5,
+    cutoff: float | None = None,
     sample: int = 20_000,
 ) -> DataFrame:
     """``key, subject, posterior, sentence_share``: each document with its subjects.
 
     ``areas`` has subject, title and description, ``labels`` doc_id and subject. The
-    lexicon votes for a subject to which at least ``share`` of the document's sentences
-    belong; a single sentence counts only where it is a third of the text or more.
-    ``sample`` bounds the labelled documents that the lexicon is learned from (the first
+    lexicon votes by the share of the document's sentences that belong to a subject, all of
+    them counted, in bands around ``share``, with a single sentence apart from several; what
+    each band is worth is learned like everything else.
+    ``cutoff`` is, if it is not given, the one between 0.3 and 0.5 under which the
+    subjects of the sample's documents agree best with their labels (by F1). ``sample`` bounds the labelled documents that the lexicon is learned from (the first
     by hash); everything else covers all documents. Null, empty and very short texts have
     no subject and no row; texts are read whole. Repeated rows of ``documents`` come out
     repeatedly. Without labels the descriptions alone teach the lexicon; empty tables give
@@ -241,8 +239,8 @@ def subjects_of(
         F.collect_set("subject").alias("subjects")  # as many as there are subject areas
     )
     chosen = cut(own.orderBy(F.xxhash64("_id"), "_id").limit(sample))
-    learned = lexicon(documents, chosen, areas, names, key, text, lang).collect()  # bounded by the sample
-    sent = spark.sparkContext.broadcast(Reader(learned, len(names)))
+    learned, languages = lexicon(documents, chosen, areas, names, key, text, lang)
+    sent = spark.sparkContext.broadcast(Reader(learned.collect(), len(names), languages))  # bounded by the sample
     k = len(names)
     kind, source_kind = (documents.schema[c].dataType.simpleString() for c in (key, source))
 
@@ -267,7 +265,7 @@ def subjects_of(
         return F.get("counts", F.lit(place))
 
     def lexical(count: Column, n: Column) -> Column:
-        return (count >= share * n) & ((count >= 2) | (count * 3 >= n))
+        return count >= share * n
 
     per_source = read.groupBy("_source").agg(
         F.array(*[F.avg(lexical(of(i), F.col("n")).cast("double")) for i in range(k)]).alias("usual")
@@ -276,6 +274,13 @@ def subjects_of(
     mean = F.array(*[F.lit(float(overall[i] or 0.0)) for i in range(k)])
     joined = read.join(per_source, read["_source"].eqNullSafe(per_source["_source"]), "left").drop(per_source["_source"])
 
+    def band(count: Column, n: Column) -> Column:
+        """The lexicon's vote: the share in bands, where a single sentence is a passing mention."""
+        return (
+            F.when(count >= CLEAR * share * n, 2).when(lexical(count, n) & (count > 1), 1)
+            .when(lexical(count, n), -1).when(count > 1, -2).when(count == 1, -3).otherwise(-4)
+        )
+
     def vote(picked: Column, i: int) -> Column:
         return F.when(picked < 0, 0).when(picked == i, 1).otherwise(-1)
 
@@ -284,8 +289,9 @@ def subjects_of(
             F.struct(
                 F.lit(i).alias("place"),
                 F.array(
-                    F.when(lexical(of(i), F.col("n")), 1).otherwise(-1),
-                    vote(F.col("opening"), i),
+                    band(of(i), F.col("n")),
+                    # an opening that is the subject's only sentence says no more than the lexicon does
+                    F.when((F.col("opening") == i) & (of(i) == 1), 0).otherwise(vote(F.col("opening"), i)),
                     vote(F.col("address"), i),
                     F.when(F.get("usual", F.lit(i)) > 2 * F.get(mean, F.lit(i)), 1)
                     .when(F.get("usual", F.lit(i)) < F.get(mean, F.lit(i)) / 2, -1)
@@ -299,22 +305,41 @@ def subjects_of(
     )
     # documents of the sample teach the accuracies with their labels, all others without
     voted = joined.join(F.broadcast(chosen), F.col("_key") == F.col("_id"), "left").select("_key", F.inline(votes))
-    patterns = voted.groupBy("place", "votes", "labelled").agg(F.count("*").alias("n")).collect()  # 243 a subject at most
-    table = []
+    patterns = voted.groupBy("place", "votes", "labelled").agg(F.count("*").alias("n")).collect()  # 6 * 3 ** 3 a subject at most, for each kind of label
+    table, judged = [], []
     for i in range(k):
         own = [r for r in patterns if r["place"] == i]
         if own:
             matrix = np.array([r["votes"] for r in own])
-            taught = np.array([{None: np.nan, True: RIGHT, False: 1 - RIGHT}[r["labelled"]] for r in own])
-            model = fit(matrix, np.array([r["n"] for r in own]), np.where(matrix[:, 0] > 0, 0.95, 0.02), known=taught)
-            seen = {tuple(r["votes"]): float(p) for r, p in zip(own, model.posterior(matrix))}
-            table += [(i, names[i], list(v), p) for v, p in seen.items() if p > cutoff]
+            with_, without = (sum(r["n"] for r in own if r["labelled"] is x) for x in (True, False))
+            # a label is missing as often as one is wrong
+            missing = min(0.5, (1 - RIGHT) * with_ / max(without, 1))
+            taught = np.array([{None: np.nan, True: RIGHT, False: missing}[r["labelled"]] for r in own])
+            model = fit(matrix, np.array([r["n"] for r in own]), START[matrix[:, 0]], known=taught)
+            posterior = model.posterior(matrix).tolist()
+            judged += [(p, r["n"], r["labelled"]) for r, p in zip(own, posterior) if r["labelled"] is not None]
+            table += {(i, names[i], tuple(r["votes"]), p) for r, p in zip(own, posterior)}
+    limit = validated(judged) if cutoff is None else cutoff
+    table = [(i, name, list(v), p) for i, name, v, p in table if p > limit]
     known = spark.createDataFrame(table, "place int, subject string, votes array<int>, posterior double")
     return voted.join(F.broadcast(known), ["place", "votes"]).select(
         F.col("_key").alias(key), "subject", F.round("posterior", 6).alias("posterior"), "sentence_share"
     )
 
 
+def validated(judged: list[tuple[float, int, bool]], low: float = 0.3, high: float = 0.5) -> float:
+    """The cutoff between ``low`` and ``high`` of greatest F1 over (posterior, count, label); of equal
+    ones, and without labels, the highest."""
+    wanted = sum(n for _, n, label in judged if label)
+    best, limit = -1.0, high
+    for c in sorted({high, low, *(p for p, _, _ in judged if low < p < high)}, reverse=True):
+        taken = [(n, label) for p, n, label in judged if p > c]
+        f1 = 2 * sum(n for n, label in taken if label) / max(1, sum(n for n, _ in taken) + wanted)
+        if f1 > best:
+            best, limit = f1, c
+    return limit
+
+
 def composition(found: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """``subject, documents, share``: how many documents, and what part of all, have each subject."""
     total = documents.count()

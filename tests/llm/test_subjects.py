@@ -62,3 +62,38 @@ def test_empty(spark):
     assert s.subjects_of(docs, areas.where("false"), none).collect() == []
     one = spark.createDataFrame([(1, "Cattle and goats and milk and cattle and goats stood here.", "en", "a", "")], SCHEMA)
     s.subjects_of(one, areas, none).collect()
+
+
+def test_languages_are_learned_from_tags(spark):
+    from pyspark.sql import functions as F
+
+    from quillspan.llm.language import learned
+
+    texts = {
+        "en": ["the herd was moved to the hills and the river rose", "we traced the spread of the fever with care", "further work is needed in the district"],
+        "de": ["die herde wurde in die hügel gebracht und der fluss stieg", "wir verfolgten die ausbreitung des fiebers", "weitere arbeit ist im bezirk nötig"],
+        "it": ["il gregge fu portato sulle colline e il fiume salì", "abbiamo seguito la diffusione della febbre", "altro lavoro serve nel distretto"],
+    }
+    rows = [(t, tag.upper() if i else f" {tag}") for tag, own in texts.items() for i, t in enumerate(own * 2)]
+    rows += [(texts["de"][0], "en"), (texts["en"][1], "xx"), (None, "en"), ("", None)]
+    languages = learned(spark.createDataFrame(rows, "text string, lang string"), F.col("text"), F.col("lang"))
+    assert languages.names == ["de", "en", "it"]
+    for tag, text in (("en", "the farmers were asked about the fever"), ("de", "die bauern wurden nach dem fieber gefragt"), ("it", "il fiume della febbre sulle colline")):
+        assert languages.of(text.split()) == tag
+    assert languages.of([], "IT ") == "it" and languages.of([], "zz") == "de"
+    none = learned(spark.createDataFrame([], "text string, lang string"), F.col("text"), F.col("lang"))
+    assert none.names == [] and none.of(["word"], "en") == "en"
+
+
+def test_only_the_posterior_decides(spark):
+    docs, labels, _ = corpus()
+    frames = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(AREAS, "subject string, title string, description string"), spark.createDataFrame(labels, "doc_id long, subject string")
+    loose = {(r.doc_id, r.subject): r.posterior for r in s.subjects_of(*frames, cutoff=0.0).collect()}
+    for cutoff in (0.3, 0.9):
+        assert {(r.doc_id, r.subject) for r in s.subjects_of(*frames, cutoff=cutoff).collect()} == {k for k, p in loose.items() if p > cutoff}
+
+
+def test_validated_cutoff():
+    assert s.validated([]) == 0.5
+    assert s.validated([(0.9, 50, True), (0.4, 10, True), (0.35, 30, False)]) == 0.35
+    assert s.validated([(0.9, 50, True), (0.4, 10, False)]) == 0.5
