@@ -4,9 +4,13 @@ For each defect several labelling functions look at a pair from different sides;
 of ``labelling`` learns how far each can be trusted and gives every pair a posterior for
 every defect. A pair keeps all defects whose posterior exceeds their cutoff.
 
-Whether a text breaks off within a sentence is judged by the collection itself: sentences
-are reduced to their frame (values, names, numbers and quotations left out), and a last
-sentence without its full stop is whole if its frame is common among sentences that have one.
+What the functions need to know they learn from the collection itself. Whether a text breaks
+off within a sentence: sentences are reduced to their frame (values, names, numbers and
+quotations left out), and a last sentence without its full stop is whole if its frame has
+one elsewhere at least as often. How refusals are worded: by the contrast of answers without
+values in which a first person declines and those in which none does. What a language looks
+like: by the character n-grams of abstracts and answers under the tags of the abstracts, and
+by how unlike the others an answer is.
 """
 
 from __future__ import annotations
@@ -21,46 +25,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.labelling import fit_on
-from quillspan.runtime import cut
+from quillspan.llm.language import WORD as SPOKEN, Languages, learned, likeness
+from quillspan.operators.lookups import small
+from quillspan.plans.answers_queries import KNOWN_FIELDS
+from quillspan.runtime import cut, delivered_once
 
 DEFECTS = ("empty", "refusal", "copy", "truncated", "language")
 CUTOFFS = {"empty": 0.5, "refusal": 0.5, "copy": 0.5, "truncated": 0.5, "language": 0.5}
-FRAME_SHARE = 2e-4
 #: Functions that see different signs of a defect, each enough by itself, by place.
 ALTERNATIVE = {"truncated": (0, 2, 3)}
+#: The fields that questions ask for, as they are written there.
+FIELDS = tuple(f.replace("_", " ") for f in KNOWN_FIELDS)
+#: Log odds from which a language is told from another, and n-grams from which an answer can be unlike others.
+TOLD, ENOUGH = 4.0, 30
+#: Deviations from the usual likeness beyond which an answer is in another language.
+UNLIKE = 6.0
 
-# The fields that questions ask for.
-FIELDS = ("model determinism", "pathogen type", "geographic scope", "historical vs hypothetical", "study goal category",
-          "intervention present", "calibration mentioned", "code available", "data used", "intervention types",
-          "model type", "pathogen name", "disease name", "host species", "primary population",
-          "population setting type", "geographic units", "data source", "calibration techniques",
-          "key outcome measures", "study dates start", "study dates end")
-# Words of each language that the others do not use.
-TELLING = {
-    "en": "the of and is to for with that this was were by from are which it has have had but their its into not out other yet an or as".split(),
-    "de": "der die das und im von mit für auf ist nicht wird wurde den dem ein eine zu keine bei nach dass wie aus oder daher auch ich wir zur zum ob nichts genannt".split(),
-    "fr": "le les du et dans une pour est pas qui sur par au aux aucune donc ce avec été je vous ne sont mais cette ces sa nous il ou où rien".split(),
-    "es": "el los las del y una para por lo con como otra fue esta se su muy pero mi está son al otro han nada sobre según eso".split(),
-}
 # A first person who will not or cannot, in four languages.
 DECLINES = re.compile(
     r"\b(?:i (?:can ?not|can'?t|won'?t|will not|am not able|am unable|must decline|do not feel comfortable|refuse)|"
-    r"i'?m (?:not able|unable)|not be right for me|"
+    r"i'?m (?:not able|unable)|"
     r"(?:kann|darf|möchte|werde) ich\b.{0,60}\bnicht|ich (?:kann|darf|möchte|werde|muss)\b.{0,60}\b(?:nicht|ablehnen)|"
     r"je (?:ne peux|ne suis|ne souhaite|dois refuser|refuse)|il m'est impossible|"
     r"(?:no puedo|no me es posible|debo negarme|me niego|no quiero|no debo))"
 )
 # How such answers open.
 OPENINGS = re.compile(
-    r"\b(?:sorry|unfortunately|regrettably|i apologi[sz]e|as an (?:automated|ai)|thanks for the text|"
+    r"\b(?:sorry|unfortunately|regrettably|i apologi[sz]e|as an ai|"
     r"leider|es tut mir leid|entschuldig|désolé|malheureusement|je regrette|lamentablemente|lo siento|por desgracia|disculp)"
 )
-# The reasons and advice they give.
-REASONS = re.compile(
-    r"consult a qualified expert|against my guidelines|sensitive health details|try a different request|"
-    r"without access to the full paper|fragen sie eine fachperson|sensible angaben|consulter un spécialiste|"
-    r"données sensibles|consulte a un especialista|datos delicados"
-)
 # Words that stand around an answer and say nothing.
 WRAPPING = frozenset("sure here is the json result answer output end of".split())
 QUOTED = re.compile(r"“[^”]*”?|„[^“”]*[“”]?|«[^»]*»?|‘[^’]*’")
@@ -136,13 +129,27 @@ def _unescaped(text: str) -> str:
 def masked(text: str, values: list[str]) -> str:
     """The text with quotations as ``§`` and the values it speaks of as ``¤``."""
     text = QUOTED.sub("§", text)
-    known = {form for v in values for form in (v.strip(), v.strip(" .")) if form}
-    if known:
-        any_of = "|".join(re.escape(v) for v in sorted(known, key=len, reverse=True))
-        text = re.sub(rf"(?<!\w)(?:{any_of})(?!\w)", "¤", text, flags=re.I)
+    low = text.lower()
+    if len(low) != len(text):  # letters whose small form is longer
+        low = text
+    spans: list[tuple[int, int]] = []
+    for form in sorted({form.lower() for v in values for form in (v.strip(), v.strip(" .")) if form}, key=len, reverse=True):
+        at = low.find(form)
+        while at >= 0:
+            end = at + len(form)
+            free = not (at and _in_word(low[at - 1])) and not (end < len(low) and _in_word(low[end]))
+            if free and all(end <= lo or hi <= at for lo, hi in spans):
+                spans.append((at, end))
+            at = low.find(form, end if free else at + 1)
+    for lo, hi in sorted(spans, reverse=True):
+        text = text[:lo] + "¤" + text[hi:]
     return re.sub(r"¤(?:,? (?:and|und|et|y) ¤|, ?¤)*", "¤", text)
 
 
+def _in_word(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
 def frame(sentence: str) -> str:
     """A masked sentence without its numbers and names."""
     s = re.sub(r"^\[[^\]]*\]\s*", "", sentence.strip()).rstrip(" .!?")
@@ -152,22 +159,23 @@ def frame(sentence: str) -> str:
     return f"{first} {rest}".lower() if rest else first.lower()
 
 
-def language_of(text: str) -> str:
-    """Language whose telling words are clearly most common; empty if none is."""
-    words = WORD.findall(text.lower())
-    counts = sorted(((sum(w in own for w in words), lang) for lang, own in _TELLING.items()), reverse=True)
-    return counts[0][1] if counts[0][0] >= 2 and counts[0][0] >= 1.5 * counts[1][0] else ""
-
-
-_TELLING = {lang: frozenset(words) for lang, words in TELLING.items()}
+def language_of(text: str, languages: Languages) -> str:
+    """The language under which the text's words are clearly most likely; empty if none is."""
+    words = SPOKEN.findall(text.lower())
+    if len(languages.names) < 2 or not words:
+        return ""
+    scores = languages.scores(words)
+    second, first = np.argsort(scores)[-2:]
+    return languages.names[first] if scores[first] - scores[second] >= TOLD else ""
 
 
 def pairs_in(words: list[str]) -> set[tuple[str, str]]:
     return set(zip(words, words[1:]))
 
 
-def votes_of(question: str, abstract: str, content: str | None) -> tuple[dict[str, list[int]], str, list[str]]:
-    """Votes for each defect, the frame of an unended last sentence, and the ended frames."""
+def votes_of(question: str, abstract: str, content: str | None, languages: Languages) -> dict:
+    """Votes for each defect, the frame of an unended last sentence, the ended frames, the own
+    words of an answer without values, and how like the known languages its words are."""
     text = content or ""
     state, values, reasons, beside = parts_of(text)
     said = " ".join(r for r in reasons if r and r.strip())
@@ -184,7 +192,6 @@ def votes_of(question: str, abstract: str, content: str | None) -> tuple[dict[st
     refusal = [
         1 if DECLINES.search(low) else -1,
         1 if OPENINGS.search(low) else 0,
-        1 if REASONS.search(low) else 0,
         0 if few or state == "prose" else -1,
     ]
 
@@ -216,90 +223,143 @@ def votes_of(question: str, abstract: str, content: str | None) -> tuple[dict[st
     ]
 
     free = masked(said, [v for v in values if len(v.strip()) > 3])
-    spoken, expected = language_of(free), {language_of(question), language_of(abstract)} - {""}
-    heard = [language_of(x) for x in SENTENCE.split(free)]
+    spoken = language_of(free, languages)
+    asked_in, told_in = language_of(question, languages), language_of(abstract, languages)
+    expected = {asked_in, told_in} - {""}
+    heard = [language_of(x, languages) for x in SENTENCE.split(free)] if spoken else []
     other = sum(h not in expected for h in heard if h)
     known = sum(bool(h) for h in heard)
     language = [
         0 if not spoken or not expected else 1 if spoken not in expected else -1,
         0 if not known or not expected else 1 if other > known / 2 else -1,
-        0 if not language_of(question) or not spoken else 1 if spoken != language_of(question) else -1,
+        0 if not asked_in or not spoken else 1 if spoken != asked_in else -1,
     ]
+    words = SPOKEN.findall(free.lower())
+    near = [languages.names.index(x) for x in expected] or list(range(len(languages.names)))
+    like = float(likeness(words, languages)[near].max()) if near and sum(map(len, words)) >= ENOUGH else None
+    # the words of an answer without values that are its own, not those of the prompt
+    own_words = sorted({*WORD.findall(low)} - {*WORD.findall(question.lower())} - {*WORD.findall(abstract.lower())}) if few else []
     votes = {"empty": empty, "refusal": refusal, "copy": copy, "truncated": truncated, "language": language}
-    return votes, tail, ended
+    return {**votes, "tail": tail, "ended": sorted(set(ended)), "words": own_words, "like": like}
 
 
-def examined(responses: DataFrame, prompts: DataFrame) -> DataFrame:
-    """``response_id``, votes by defect, ``tail`` and ``ended`` for each distinct response."""
-    one = responses.select("response_id", "abstract_id", "question", "content").groupBy("response_id").agg(
-        F.min(F.struct("abstract_id", "question", "content")).alias("r")
-    )
-    texts = prompts.groupBy(F.col("abstract_id").alias("_a")).agg(F.max("abstract").alias("abstract"))
-    joined = one.join(texts, F.col("r.abstract_id") == F.col("_a"), "left").select(
-        "response_id", "r.question", "abstract", "r.content"
-    )
+def languages_of(pairs: DataFrame, sample: int) -> Languages:
+    """The languages of abstracts and answers under the tags of the abstracts, learned from
+    ``sample`` pairs, the first by hash; without tags all are one language."""
+    tag = F.coalesce(F.nullif(F.trim("lang"), F.lit("")), F.lit("untold"))
+    chosen = pairs.select("content", "abstract", tag.alias("tag")).orderBy(F.xxhash64("content")).limit(sample)
+    return learned(chosen.select(F.explode(F.array("content", "abstract")).alias("text"), "tag"), F.col("text"), F.col("tag"))
+
+
+def examined(responses: DataFrame, prompts: DataFrame, sample: int) -> DataFrame:
+    """``response_id``, votes by defect, ``tail``, ``ended``, ``words`` and ``like`` of each response."""
+    one = delivered_once(responses.select("response_id", "abstract_id", "question", "content"), "response_id")
+    tag = F.max("lang") if "lang" in prompts.columns else F.lit(None).cast("string")
+    texts = prompts.groupBy(F.col("abstract_id").alias("_a")).agg(F.max("abstract").alias("abstract"), tag.alias("lang"))
+    joined = cut(one.join(texts, F.col("abstract_id") == F.col("_a"), "left").select("response_id", "question", "abstract", "content", "lang"))
+    languages = languages_of(joined, sample)
+    names = [*DEFECTS, "tail", "ended", "words", "like"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for key, question, abstract, content in batch.itertuples(index=False):
-                votes, tail, ended = votes_of(question or "", abstract or "", content)
-                rows.append((key, *(votes[d] for d in DEFECTS), tail, ended))
-            yield pd.DataFrame(rows, columns=["response_id", *DEFECTS, "tail", "ended"])
+            seen = [votes_of(q or "", a or "", c, languages) for q, a, c in zip(batch["question"], batch["abstract"], batch["content"])]
+            out = pd.DataFrame({n: [x[n] for x in seen] for n in names})
+            yield out.assign(response_id=batch["response_id"].to_numpy(), like=out["like"].astype("float64"))[["response_id", *names]]
 
     kind = responses.schema["response_id"].dataType.simpleString()
     schema = f"response_id {kind}, " + ", ".join(f"{d} array<int>" for d in DEFECTS)
-    return joined.mapInPandas(run, schema + ", tail string, ended array<string>")
+    schema += ", tail string, ended array<string>, words array<string>, like double"
+    out = joined.drop("lang").mapInPandas(run, schema)
+    return cut(out.withColumn("_row", F.monotonically_increasing_id()))
 
 
-def common_frames(rows: DataFrame, share: float) -> DataFrame:
-    """``frame`` of the ended sentences that make up at least a share of all, twice at least.
+def whole_sentences(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``tail`` of the last sentences that are whole without a full stop, and ``start``, the hash of
+    every beginning of a whole sentence.
 
-    Their number is at most one over the share, whatever the collection.
+    A frame is whole if it ends two answers' sentences with a full stop or more, and no fewer
+    than it is left without one; both grow alike with the collection.
     """
-    frames = rows.select(F.explode("ended").alias("frame")).groupBy("frame").agg(F.count("*").alias("n"))
-    frames = cut(frames)
-    total = frames.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return frames.where((F.col("n") >= share * total) & (F.col("n") >= 2)).select("frame")
+    ended = rows.select(F.explode("ended").alias("frame")).groupBy("frame").agg(F.count("*").alias("ended"))
+    tails = rows.where("tail <> ''").groupBy("tail").agg(F.count("*").alias("left"))
+    frames = cut(ended.where("ended >= 2"))
+    whole = tails.join(frames, F.col("tail") == F.col("frame")).where("ended >= left").select("tail")
+    starts = frames.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("frame")), lambda i: F.xxhash64(F.substring("frame", F.lit(1), i)))).alias("start"))
+    return whole, starts.distinct()
+
+
+def refusal_words(rows: DataFrame) -> DataFrame:
+    """``_row, worded``: whether an answer without values is worded like those that decline.
+
+    A word's weight is the log odds of its standing in answers without values in which a
+    first person declines against answers with values; a word must stand in two of the
+    former, and in a hundredth of them, so there are at most a hundred times as many as an
+    answer has. Answers with none of these words have no vote.
+    """
+    declines = (F.get("refusal", F.lit(0)) == 1) | (F.get("refusal", F.lit(1)) == 1)
+    few, others = rows.where(F.size("words") > 0), rows.where(F.size("words") == 0)
+    seeds = few.where(declines).select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("a"))
+    sizes = rows.agg(F.count_if((F.size("words") > 0) & declines).alias("s"), F.count_if(F.size("words") == 0).alias("o")).first()
+    kept = small(cut(seeds.where(F.col("a") >= max(2, 0.01 * sizes["s"]))))
+    used = others.select(F.explode(F.array_distinct(F.split(F.concat_ws(" ", "ended"), r"[^\p{L}\p{N}]+"))).alias("word"))
+    usual = used.join(kept.select("word"), "word", "left_semi").groupBy("word").agg(F.count("*").alias("b"))
+    odds = F.log((F.col("a") + 0.5) / (sizes["s"] + 1)) - F.log((F.coalesce("b", F.lit(0)) + 0.5) / (sizes["o"] + 1))
+    weights = kept.join(usual, "word", "left").select("word", odds.alias("odds"))
+    long = few.select("_row", F.explode("words").alias("word"))
+    summed = long.join(small(cut(weights)), "word").groupBy("_row").agg(F.sum("odds").alias("odds"))
+    return summed.select("_row", F.when(F.col("odds") > 0, 1).otherwise(-1).alias("worded"))
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """The votes of ``examined`` with those that need the whole collection."""
+    whole, starts = whole_sentences(rows)
+    usual = rows.agg(F.percentile_approx("like", 0.5, 10_000).alias("m")).first()["m"]
+    off = F.abs(F.col("like") - F.lit(usual).cast("double"))
+    spread = rows.agg(F.percentile_approx(off, 0.5, 10_000).alias("d")).first()["d"]
+    broken = F.get("truncated", F.lit(0)) == 1
+    ended = (F.col("tail") == "") | F.col("_whole").isNotNull()
+    unlike = F.when(F.col("like").isNull(), 0).when(F.col("like") < F.lit(usual) - UNLIKE * F.greatest(F.lit(spread), F.lit(0.02)), 1).otherwise(-1)
+    return (
+        rows.join(whole.select("tail", F.lit(True).alias("_whole")), "tail", "left")
+        .withColumn("_start", F.when(F.col("tail") != "", F.xxhash64("tail")))
+        .join(starts.select(F.col("start").alias("_start"), F.lit(True).alias("_begun")), "_start", "left")
+        .join(refusal_words(rows), "_row", "left")
+        .select(
+            "response_id", "empty", "copy",
+            F.concat("truncated", F.array(
+                F.when(broken, 0).when(ended, -1).otherwise(1),
+                F.when(broken, 0).when(ended, -1).when(F.col("_begun"), 1).otherwise(0),
+            )).alias("truncated"),
+            F.concat("refusal", F.array(F.coalesce("worded", F.when(F.size("words") == 0, -1).otherwise(0)))).alias("refusal"),
+            F.concat("language", F.array(unlike)).alias("language"),
+        )
+    )
 
 
 def defects(
-    responses: DataFrame, prompts: DataFrame, cutoffs: dict[str, float] | None = None, frame_share: float = FRAME_SHARE
+    responses: DataFrame, prompts: DataFrame, cutoffs: dict[str, float] | None = None, sample: int = 20_000
 ) -> DataFrame:
     """``response_id, defects, posteriors``: every pair with all its defects, strongest first.
 
     ``responses`` has response_id, abstract_id, question and content, ``prompts`` has
-    abstract_id and abstract; other columns are ignored. Null and blank contents are empty
-    answers; a missing question or abstract gives no vote on copying or language. Responses
-    delivered more than once count once, of different contents the smallest; of abstracts
-    under one id the largest text counts. Empty tables give an empty result. Very long
-    answers are judged whole.
+    abstract_id, abstract and, if it is known, lang; other columns are ignored. Null and
+    blank contents are empty answers; a missing question or abstract gives no vote on
+    copying or language. Responses delivered more than once, unchanged, count once; those of
+    null key all stay; of abstracts under one id the largest text counts. ``sample`` bounds
+    the pairs that the languages are learned from. Empty tables give an empty result. Very
+    long answers are judged whole.
     """
     limits = {**CUTOFFS, **(cutoffs or {})}
-    rows = cut(examined(responses, prompts))
-    frames = [r["frame"] for r in common_frames(rows, frame_share).collect()]  # 1 / frame_share at most
-    whole = F.array(*[F.lit(f) for f in frames]).cast("array<string>")
-    broken, ended = F.get("truncated", F.lit(0)) == 1, (F.col("tail") == "") | F.array_contains(whole, F.col("tail"))
-    begun = F.exists(whole, lambda f: f.startswith(F.col("tail")))
-    judged = rows.withColumn(
-        "truncated",
-        F.concat(
-            "truncated",
-            F.array(
-                F.when(broken, 0).when(ended, -1).otherwise(1),
-                F.when(broken, 0).when(ended, -1).when(begun, 1).otherwise(0),
-            ),
-        ),
-    )
+    voted = cut(judged(examined(responses, prompts, sample)))
     spark = responses.sparkSession
-    out = judged
+    out = voted
     for d in DEFECTS:
-        _, patterns, posterior = fit_on(judged.select(d), d, alternative=ALTERNATIVE.get(d))
+        _, patterns, posterior = fit_on(voted.select(d), d, alternative=ALTERNATIVE.get(d))
         found = spark.createDataFrame(
             pd.DataFrame({"_p": [list(p) for p in patterns], "_post_" + d: np.asarray(posterior, float)}),
             f"_p array<int>, _post_{d} double",
         )
-        out = out.join(F.broadcast(found), F.col(d) == F.col("_p"), "left").drop("_p")
+        out = out.join(F.broadcast(found), F.col(d) == F.col("_p"), "left").drop("_p")  # 3 ** 4 patterns at most
     every = F.array(
         *[F.struct(F.col("_post_" + d).alias("posterior"), F.lit(-i).alias("rank"), F.lit(d).alias("defect"),
                    F.lit(limits[d]).alias("cutoff")) for i, d in enumerate(DEFECTS)]
