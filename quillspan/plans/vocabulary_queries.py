@@ -160,9 +160,9 @@ from a left join vocab_class c on lower(trim(c.label)) = a.attribute group by at
 }
 SQL["domains"] = (
     "with e as (select distinct extraction_id, attr_name from extraction), exact as (select attr_name, domain from (values "
-    + ", ".join(f"('{a}', '{dom}')" for dom, (names, _) in DOMAINS.items() for a in names.split())
+    + ", ".join(f"('{a}', '{dom}')" for dom, (names, _) in DOMAINS.items() for a in names)
     + ") as m(attr_name, domain)), worded as (select distinct attr_name, domain from e, (values "
-    + ", ".join(f"('{w}', '{dom}')" for dom, (_, words) in DOMAINS.items() for w in words.split())
+    + ", ".join(f"('{w}', '{dom}')" for dom, (_, words) in DOMAINS.items() for w in words)
     + """) as w(word, domain) where contains(lower(attr_name), word) and attr_name not in (select attr_name from exact)),
 m as (select * from exact union select * from worded)
 select coalesce(domain, 'other') as domain, cast(count(*) as bigint) as n from e left join m using (attr_name) group by 1"""
