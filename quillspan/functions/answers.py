@@ -72,7 +72,7 @@ def joined_values(payload: Column) -> Column:
     return (
         F.when(~is_object(payload), payload)
         .when(is_list(raw), as_text)
-        .when(raw.isNull(), F.when(payload.rlike(r'"values"\s*:\s*null'), "None").otherwise(""))
+        .when(raw.isNull(), F.when(F.array_contains(F.json_object_keys(payload), "values"), "None").otherwise(""))
         .otherwise(raw)
     )
 

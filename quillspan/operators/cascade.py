@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions.dates import month_of
@@ -26,13 +26,16 @@ class Judge(Protocol):
     def judge(self, prompt: str) -> str: ...
 
 
-def judge_prompt(attribute: str, value: str, expected: list[str]) -> str:
-    listed = ", ".join(f'"{e}"' for e in expected)
-    return (
-        f"Field: {attribute}\nExtracted value: \"{value}\"\nExpected values: [{listed}]\n"
-        "Does the extracted value mean the same as any expected value?\n"
-        "Respond with ONLY one word: MATCH or NO_MATCH"
-    )
+def judge_prompt(attribute: Column, value: Column, expected: Column) -> Column:
+    """What the judge is asked: a line each for the question, the attribute, the value and the
+    expected ones, the latter two as JSON, so that line breaks and quotes do not disturb."""
+    asked = F.lit("Two annotators read the same abstract. Do they name the same thing?")
+    answer = F.lit("Answer with one word, MATCH if the first names any of the second's, otherwise NO_MATCH.")
+    one = F.regexp_extract(F.to_json(F.array(value)), r"(?s)^\[(.*)\]$", 1)
+    return F.concat_ws(
+        "\n", asked, F.concat(F.lit("Attribute: "), attribute), F.concat(F.lit("First value: "), one),
+        F.concat(F.lit("Second values: "), F.to_json(expected)), answer,
+    )
 
 
 def verdict(answer: str, value: str, expected: list[str]) -> str | None:
@@ -55,7 +58,7 @@ def judged(open_cases: DataFrame, gold: DataFrame, factory: Callable[[], Judge])
     )
     asked = open_cases.join(expected, ["item_id", "attribute"]).select(
         *KEYS, "value", F.transform("_g", lambda x: x.value).alias("expected")
-    )
+    ).withColumn("prompt", judge_prompt(F.col("attribute"), F.col("value"), F.col("expected")))
     kinds = dict(asked.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in KEYS) + ", matched string, method string"
 
@@ -63,9 +66,9 @@ def judged(open_cases: DataFrame, gold: DataFrame, factory: Callable[[], Judge])
         judge = factory()
         for batch in batches:
             named = []
-            for a, v, e in zip(batch["attribute"], batch["value"], batch["expected"]):
+            for p, v, e in zip(batch["prompt"], batch["value"], batch["expected"]):
                 try:
-                    named.append(verdict(judge.judge(judge_prompt(a, v, list(e))), v, list(e)))
+                    named.append(verdict(judge.judge(p), v, list(e)))
                 except Exception:  # one failed request must not fail the job
                     named.append(None)
             yield batch[list(KEYS)].assign(matched=named, method="llm")

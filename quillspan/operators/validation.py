@@ -35,7 +35,13 @@ def light_errors(
     ).select(key, F.lit("missing").alias("error"), "field", F.lit("").alias("detail"))
     long = rows.select(key, F.explode(fields).alias("field", "p"))
     p, inside = F.col("p"), answers.is_object(F.col("p"))
-    values, reasoning = F.get_json_object(p, "$.values"), F.get_json_object(p, "$.reasoning")
+    values = F.get_json_object(p, "$.values")
+
+    keys = F.coalesce(F.json_object_keys(p), F.array().cast("array<string>"))
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(p), "$.reasoning", "variant"))
+
+    def has(name: str) -> Column:
+        return F.array_contains(keys, name)
 
     def entry(test: Column, error: str, detail: str = "") -> Column:
         return F.when(test, F.struct(F.lit(error).alias("error"), F.lit(detail).alias("detail")))
@@ -44,10 +50,10 @@ def light_errors(
     faults = F.array(
         entry(~is_known, "unexpected"),
         entry(is_known & ~inside, "not_object"),
-        entry(is_known & inside & ~p.rlike(r'"values"\s*:'), "missing_key", "values"),
-        entry(is_known & inside & ~p.rlike(r'"reasoning"\s*:'), "missing_key", "reasoning"),
+        entry(is_known & inside & ~has("values"), "missing_key", "values"),
+        entry(is_known & inside & ~has("reasoning"), "missing_key", "reasoning"),
         entry(is_known & inside & ~answers.is_list(values), "values_not_list"),
-        entry(is_known & inside & p.rlike(r'"reasoning"\s*:\s*[^"n\s]') & reasoning.isNotNull(), "reasoning_not_text"),
+        entry(is_known & inside & ~kind.isin("STRING", "VOID"), "reasoning_not_text"),
     )
     shape = long.select(key, "field", F.inline(F.filter(faults, lambda x: x.isNotNull())))
     held = long.where(is_known & inside & answers.is_list(values)).select(

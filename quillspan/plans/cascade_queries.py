@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import zlib
+import json
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.operators import matching, similarity
-from quillspan.operators.cascade import KEYS, cascade
+from quillspan.operators.cascade import KEYS, cascade, judge_prompt
 from quillspan.plans import reports, scoring
 from quillspan.plans.prompts import extraction_prompt
-from quillspan.runtime import table
+from quillspan.runtime import cut, table
 
 INSTRUCTIONS = "Extract the requested fields from the abstract as JSON.\nGive values and a short reasoning for each."
 
@@ -26,9 +26,8 @@ class NgramEncoder:
     def encode(self, texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), self.size))
         for i, text in enumerate(texts):
-            padded = f"  {text.lower()} "
-            for k in range(len(padded) - 2):
-                out[i, zlib.crc32(padded[k : k + 3].encode()) % self.size] += 1
+            c = np.array([ord(x) for x in f"  {text.lower()} "])
+            out[i] = np.bincount((c[:-2] * 961 + c[1:-1] * 31 + c[2:]) % self.size, minlength=self.size)
         return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).tolist()
 
 
@@ -36,20 +35,20 @@ class WordJudge:
     """A judge without a model: values match if they share half of their words."""
 
     def judge(self, prompt: str) -> str:
-        lines = prompt.split("\n")
-        value = set(lines[1].split('"', 1)[1].rsplit('"', 1)[0].lower().split())
-        expected = lines[2].split("[", 1)[1].rsplit("]", 1)[0].lower().replace('"', "").split(", ")
-        shared = max((len(value & set(e.split())) / max(1, len(value | set(e.split()))) for e in expected), default=0)
+        _, _, first, second, _ = prompt.split("\n")
+        value = set(json.loads(first.split(": ", 1)[1]).lower().split())
+        expected = [set(e.lower().split()) for e in json.loads(second.split(": ", 1)[1])]
+        shared = max((len(value & e) / max(1, len(value | e)) for e in expected), default=0)
         return "MATCH" if shared >= 0.5 else "NO_MATCH"
 
 
 def _cascade(spark: SparkSession, d: str) -> DataFrame:
     extracted, gold, fields = scoring.long_forms(spark, d)
     texts = extracted.select("value").unionByName(gold.select("value"))
-    vectors = similarity.encoded(texts, "value", NgramEncoder).select(
+    vectors = cut(similarity.encoded(texts, "value", NgramEncoder)).select(
         F.col("value").alias("text"), F.lit("trigram").alias("encoder"), "vector"
     )
-    pairs = similarity.candidate_pairs(extracted, gold, vectors)
+    pairs = similarity.candidate_pairs(extracted, gold, vectors).withColumn("score", F.round("score", 9))
     best = similarity.best_candidate(pairs, (*KEYS, "encoder"), "score", "gold_pos", "gold_value")
     decided = similarity.ensemble(similarity.decided(best).withColumn("place", F.lit(0)), KEYS, "place")
     return cascade(extracted, gold, fields, decided, WordJudge, answered=scoring.answered(spark, d))
@@ -101,11 +100,84 @@ def judge_prompts(spark: SparkSession, d: str) -> DataFrame:
     return gold.select("abstract_id", "attribute", listed.alias("expected"))
 
 
+def judge_requests(spark: SparkSession, d: str) -> DataFrame:
+    """The whole prompt for every extracted value that has gold values to be judged against."""
+    extracted, gold, _ = scoring.long_forms(spark, d)
+    expected = gold.groupBy("item_id", "attribute").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("_g"))  # one field's
+    asked = extracted.join(expected, ["item_id", "attribute"])
+    prompt = judge_prompt(F.col("attribute"), F.col("value"), F.transform("_g", lambda x: x.value))
+    return asked.select("item_id", "model", "attribute", "pos", prompt.alias("prompt"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (cascade_events, cascade_methods, report_text, report_html, report_summary, model_comparison, model_answers, extraction_prompts, judge_prompts)
+    for f in (cascade_events, cascade_methods, report_text, report_html, report_summary, model_comparison, model_answers, extraction_prompts, judge_prompts, judge_requests)
 }
+_CASCADE = (
+    scoring._BASE
+    + f""", texts as (select value as t from extracted union select value from gold_long),
+padded as (select t, '  ' || lower(t) || ' ' as p from texts),
+bucket as (
+  select t, list_transform(range(1, length(p) - 1),
+    lambda i: (ord(substr(p, i, 1)) * 961 + ord(substr(p, i + 1, 1)) * 31 + ord(substr(p, i + 2, 1))) % 128) as b from padded),
+vec as (select t, list_transform(range(0, 128), lambda k: cast(len(list_filter(b, lambda x: x = k)) as double)) as v from bucket),
+scored as (
+  select e.item_id, e.model, e.attribute, e.pos, g.pos as gpos, g.value as gvalue,
+    round(greatest(0, least(1, list_cosine_similarity(a.v, c.v))), 9) as s
+  from expected e join gold_long g on e.item_id = g.item_id and e.attribute = g.attribute join vec a on a.t = e.value join vec c on c.t = g.value
+  where e.attribute not in ('study_dates_start', 'study_dates_end')),
+best as (
+  select item_id, model, attribute, pos, arg_max(gvalue, struct_pack(s := s, p := -gpos)) as best, max(s) as s from scored group by all),
+wanted as (select item_id, attribute, arg_min(value, pos) as first, list(value order by pos) as listed from gold_long group by all),
+tier as (
+  select e.*, b.s, w.first, w.listed, case when b.s >= 0.85 then b.best when b.s <= 0.5 and {scoring.sql_month('e.value')} = {scoring.sql_month('w.first')} then w.first end as named,
+    case when b.s >= 0.85 then 'vector' else 'date_format' end as method
+  from expected e join wanted w using (item_id, attribute) left join best b using (item_id, model, attribute, pos)),
+worded as (
+  select *, list_distinct(list_filter(regexp_split_to_array(lower(value), '\\s+'), lambda w: w <> '')) as words,
+    list_transform(listed, lambda x: list_distinct(list_filter(regexp_split_to_array(lower(x), '\\s+'), lambda w: w <> ''))) as others
+  from tier where named is null and (s is null or (s > 0.5 and s < 0.85))),
+judged as (
+  select item_id, model, attribute, pos, value, coalesce(list_filter(listed, lambda x: contains(lower(value), lower(x)) or contains(lower(x), lower(value)))[1], listed[1]) as named
+  from worded where list_max(list_transform(others, lambda o: len(list_intersect(words, o)) / greatest(1, len(list_distinct(list_concat(words, o)))))) >= 0.5),
+decided as (
+  select item_id, model, attribute, pos, value, named as matched, method from tier where named is not null
+  union all select item_id, model, attribute, pos, value, named, 'llm' from judged),
+met as (
+  select * from decided
+  union all select item_id, model, attribute, pos, value, matched, 'string' from hit h
+  where not exists (select 1 from decided x where x.item_id = h.item_id and x.attribute = h.attribute and x.pos = h.pos)),
+outcome as (
+  select item_id, model, attribute, pos, 'hit' as outcome, value, matched, method from met
+  union all select item_id, model, attribute, pos, 'false_positive', value, null, null from expected e
+  where not exists (select 1 from met h where h.item_id = e.item_id and h.attribute = e.attribute and h.pos = e.pos)
+  union all select item_id, model, attribute, pos, outcome, value, matched, method from event where outcome = 'not_expected'
+  union all select g.item_id, x.model, g.attribute, g.pos, 'miss', g.stripped, null, null from gold_long g join answered x using (item_id)
+  where not exists (select 1 from met h where h.item_id = g.item_id and h.attribute = g.attribute and h.matched = g.value))
+"""
+)
 SQL = {
+    "cascade_events": _CASCADE + "select item_id, model, attribute, pos, outcome, value, matched, method from outcome",
+    "cascade_methods": _CASCADE + "select model, method, cast(count(*) as bigint) as n from outcome where outcome = 'hit' group by all",
+    "judge_requests": scoring._BASE
+    + """, wanted as (select item_id, attribute, list(value order by pos) as listed from gold_long group by all)
+select item_id, model, attribute, pos, concat_ws(chr(10), 'Two annotators read the same abstract. Do they name the same thing?',
+  'Attribute: ' || attribute, 'First value: ' || cast(to_json(value) as varchar), 'Second values: ' || cast(to_json(listed) as varchar),
+  'Answer with one word, MATCH if the first names any of the second''s, otherwise NO_MATCH.') as prompt
+from extracted join wanted using (item_id, attribute)""",
+    "report_text": scoring._BASE
+    + """, rated as (
+  select *, case when total_expected > 0 then hits / total_expected else 0.0 end as r, case when hits + fps > 0 then hits / (hits + fps) else 0.0 end as p
+  from per_item),
+head as (select *, round(r, 6) as recall, round(p, 6) as precision, round(case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end, 6) as f1 from rated)
+select model, item_id, 0 as section, '' as place,
+  printf('%s | %s: %d hits, %d misses, %d false positives of %d expected; recall %.2f%%, precision %.2f%%, F1 %.2f%%', cast(item_id as varchar), model,
+    cast(hits as bigint), cast(misses as bigint), cast(fps as bigint), cast(total_expected as bigint), round(recall * 100, 2), round(precision * 100, 2), round(f1 * 100, 2)) as line
+from head
+union all
+select model, item_id, case outcome when 'hit' then 1 when 'miss' then 2 else 3 end, attribute || '/' || lpad(cast(pos as varchar), 6, '0'),
+  '  [' || attribute || '] ' || case outcome when 'hit' then value || ' = ' || matched || ' (' || method || ')' else value end
+from event where outcome <> 'not_expected'""",
     "extraction_prompts": "select abstract_id, '"
     + INSTRUCTIONS.replace("'", "''")
     + "' || chr(10) || chr(10) || coalesce(max(abstract), '') as prompt from abstract_item group by 1",

@@ -24,7 +24,7 @@ def report_lines(events: DataFrame, scores: DataFrame) -> DataFrame:
         F.format_string(
             "%s | %s: %d hits, %d misses, %d false positives of %d expected; recall %.2f%%, precision %.2f%%, F1 %.2f%%",
             F.col("item_id").cast("string"), "model", "hits", "misses", "fps", "total_expected",
-            F.col("recall") * 100, F.col("precision") * 100, F.col("f1") * 100,
+            *[F.round(F.col(c) * 100, 2) for c in ("recall", "precision", "f1")],
         ).alias("line"),
     )
     section = F.when(F.col("outcome") == "hit", 1).when(F.col("outcome") == "miss", 2).otherwise(3)

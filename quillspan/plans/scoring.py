@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import answers
 from quillspan.functions.dates import MONTHS, month_of
-from quillspan.functions.text import absent, field_name, split_values, without_annotations
+from quillspan.functions.text import ABSENT, absent, field_name, split_values, without_annotations
 from quillspan.operators import matching, vocabulary
 from quillspan.runtime import cut, once, table
 
@@ -183,11 +183,7 @@ def sql_month(x: str) -> str:
     )
 
 
-_ABSENT = (
-    "case lower({s}) when 'unspecified' then 'not specified' when 'unknown' then 'not specified' when 'n/a' then 'not applicable' "
-    "when 'none' then 'not mentioned' when 'not available' then 'not mentioned' when 'not stated' then 'not mentioned' "
-    "when 'not reported' then 'not mentioned' else {x} end"
-)
+_ABSENT = "case lower({s}) " + " ".join(f"when '{a}' then '{b}'" for a, b in ABSENT.items()) + " else {x} end"
 
 
 def sql_absent(x: str) -> str:
