@@ -8,7 +8,6 @@ tag says. Nothing is known beforehand, no language and no word of one.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -74,6 +73,34 @@ class Languages:
         return tag if tag in self.names or not self.names else self.names[0]
 
 
+class Speech(dict):
+    """Words to rows of a growing table of their log probabilities, for many texts at once."""
+
+    def __init__(self, languages: Languages, remembered: int = 500_000):
+        super().__init__()
+        self.languages, self.remembered = languages, remembered
+        self.rows: list[np.ndarray] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self.rows)
+        self.rows.append(self.languages.of_word(word))
+        return number
+
+    def scores(self, texts: list[list[str]]) -> np.ndarray:
+        """The log probability of each text's words in every language, a row a text."""
+        if len(self.rows) > self.remembered:
+            self.clear()
+            self.rows = []
+        ids = [self[w] for words in texts for w in words]
+        out = np.zeros((len(texts), len(self.languages.names)))
+        if ids:
+            owner = np.repeat(np.arange(len(texts)), [len(words) for words in texts])
+            table = np.stack(self.rows)[ids]
+            for i in range(out.shape[1]):
+                out[:, i] = np.bincount(owner, table[:, i], minlength=len(texts))
+        return out
+
+
 def learned(texts: DataFrame, text: Column, tag: Column, least_share: float = 0.01) -> Languages:
     """The languages of a table of tagged texts, from counts that Spark adds up.
 
@@ -82,28 +109,19 @@ def learned(texts: DataFrame, text: Column, tag: Column, least_share: float = 0.
     rows = texts.select(text.alias("_text"), F.lower(F.trim(tag)).alias("_tag")).where("_text is not null and _tag <> ''")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, Counter] = {}
+        words: dict[str, Counter] = {}
+        texts: Counter = Counter()
         for batch in batches:
             for body, own in batch.itertuples(index=False):
-                counts = held.setdefault(own, Counter())
-                for word, n in Counter(WORD.findall(body.lower())).items():
-                    for gram in grams_of(word):
-                        counts[gram] += n
-                counts[""] += 1  # the text itself
-        for own, counts in held.items():
-            yield pd.DataFrame({"tag": own, "gram": list(counts), "n": list(counts.values())})
+                words.setdefault(own, Counter()).update(WORD.findall(body.lower()))
+                texts[own] += 1
+        for own, counts in words.items():
+            grams: Counter = Counter({"": texts[own]})  # the texts themselves
+            for word, n in counts.items():
+                for gram in grams_of(word):
+                    grams[gram] += n
+            yield pd.DataFrame({"tag": own, "gram": list(grams), "n": list(grams.values())})
 
     summed = rows.mapInPandas(run, "tag string, gram string, n bigint").groupBy("tag", "gram").agg(F.sum("n").alias("n")).collect()
     counts = [(r["tag"], r["gram"], r["n"]) for r in summed if r["gram"]]
     return Languages.learn(sorted(counts), {r["tag"]: r["n"] for r in summed if not r["gram"]}, least_share)
-
-
-def likeness(words: list[str], languages: Languages) -> np.ndarray:
-    """Mean log probability of an n-gram of the words in every language; empty for no words."""
-    n = sum(len(w) for w in words)
-    return sum((languages.of_word(w) for w in words), np.zeros(len(languages.names))) / n if n else np.empty(0)
-
-
-def entropy_floor(languages: Languages) -> float:
-    """What an n-gram costs that a language does not know."""
-    return float(languages.unseen.min()) if len(languages.unseen) else -math.inf

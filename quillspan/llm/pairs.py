@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.labelling import fit_on
-from quillspan.llm.language import WORD as SPOKEN, Languages, learned, likeness
+from quillspan.llm.language import WORD as SPOKEN, Languages, Speech, learned
 from quillspan.operators.lookups import small
 from quillspan.plans.answers_queries import KNOWN_FIELDS
 from quillspan.runtime import cut, delivered_once
@@ -159,23 +159,49 @@ def frame(sentence: str) -> str:
     return f"{first} {rest}".lower() if rest else first.lower()
 
 
-def language_of(text: str, languages: Languages) -> str:
-    """The language under which the text's words are clearly most likely; empty if none is."""
-    words = SPOKEN.findall(text.lower())
-    if len(languages.names) < 2 or not words:
-        return ""
-    scores = languages.scores(words)
-    second, first = np.argsort(scores)[-2:]
-    return languages.names[first] if scores[first] - scores[second] >= TOLD else ""
+def told(scores: np.ndarray) -> np.ndarray:
+    """The place of the clearly most likely language in each row of log probabilities; -1 if none is."""
+    if scores.shape[1] < 2:
+        return np.full(len(scores), -1)
+    order = np.sort(scores, axis=1)
+    return np.where(order[:, -1] - order[:, -2] >= TOLD, scores.argmax(axis=1), -1)
+
+
+def language_votes(rows: list[tuple[str, str, str]], speech: Speech) -> tuple[list[list[int]], list[float | None]]:
+    """Votes on the language of each (question, abstract, own text), and how like the expected
+    languages the text's words are: the mean log probability of an n-gram."""
+    words = [[SPOKEN.findall(t.lower()) for t in texts] for texts in zip(*rows)] if rows else [[], [], []]
+    asked, told_in, scores = told(speech.scores(words[0])), told(speech.scores(words[1])), speech.scores(words[2])
+    spoken = told(scores)
+    votes, like = [], []
+    foreign = [i for i in range(len(rows)) if spoken[i] >= 0 and spoken[i] not in (asked[i], told_in[i])]
+    sentences = [(i, SPOKEN.findall(x.lower())) for i in foreign for x in SENTENCE.split(rows[i][2])]
+    heard: dict[int, list[int]] = {}
+    for (i, _), place in zip(sentences, told(speech.scores([w for _, w in sentences]))):
+        if place >= 0:
+            heard.setdefault(i, []).append(int(place))
+    for i in range(len(rows)):
+        expected = {int(asked[i]), int(told_in[i])} - {-1}
+        other = [h not in expected for h in heard.get(i, [])]
+        votes.append([
+            0 if spoken[i] < 0 or not expected else 1 if spoken[i] not in expected else -1,
+            # sentence by sentence, where the whole is not as expected
+            0 if spoken[i] < 0 or not expected else 1 if sum(other) > len(other) / 2 else -1,
+            0 if asked[i] < 0 or spoken[i] < 0 else 1 if spoken[i] != asked[i] else -1,
+        ])
+        size = sum(map(len, words[2][i]))
+        near = scores[i][sorted(expected)] if expected else scores[i]
+        like.append(float(near.max()) / size if size >= ENOUGH and len(near) else None)
+    return votes, like
 
 
 def pairs_in(words: list[str]) -> set[tuple[str, str]]:
     return set(zip(words, words[1:]))
 
 
-def votes_of(question: str, abstract: str, content: str | None, languages: Languages) -> dict:
-    """Votes for each defect, the frame of an unended last sentence, the ended frames, the own
-    words of an answer without values, and how like the known languages its words are."""
+def votes_of(question: str, abstract: str, content: str | None) -> dict:
+    """Votes for each defect but the language, the frame of an unended last sentence, the ended
+    frames, the own words of an answer without values, and the text that tells its language."""
     text = content or ""
     state, values, reasons, beside = parts_of(text)
     said = " ".join(r for r in reasons if r and r.strip())
@@ -223,24 +249,10 @@ def votes_of(question: str, abstract: str, content: str | None, languages: Langu
     ]
 
     free = masked(said, [v for v in values if len(v.strip()) > 3])
-    spoken = language_of(free, languages)
-    asked_in, told_in = language_of(question, languages), language_of(abstract, languages)
-    expected = {asked_in, told_in} - {""}
-    heard = [language_of(x, languages) for x in SENTENCE.split(free)] if spoken else []
-    other = sum(h not in expected for h in heard if h)
-    known = sum(bool(h) for h in heard)
-    language = [
-        0 if not spoken or not expected else 1 if spoken not in expected else -1,
-        0 if not known or not expected else 1 if other > known / 2 else -1,
-        0 if not asked_in or not spoken else 1 if spoken != asked_in else -1,
-    ]
-    words = SPOKEN.findall(free.lower())
-    near = [languages.names.index(x) for x in expected] or list(range(len(languages.names)))
-    like = float(likeness(words, languages)[near].max()) if near and sum(map(len, words)) >= ENOUGH else None
     # the words of an answer without values that are its own, not those of the prompt
     own_words = sorted({*WORD.findall(low)} - {*WORD.findall(question.lower())} - {*WORD.findall(abstract.lower())}) if few else []
-    votes = {"empty": empty, "refusal": refusal, "copy": copy, "truncated": truncated, "language": language}
-    return {**votes, "tail": tail, "ended": sorted(set(ended)), "words": own_words, "like": like}
+    votes = {"empty": empty, "refusal": refusal, "copy": copy, "truncated": truncated}
+    return {**votes, "tail": tail, "ended": sorted(set(ended)), "words": own_words, "free": free}
 
 
 def languages_of(pairs: DataFrame, sample: int) -> Languages:
@@ -261,9 +273,12 @@ def examined(responses: DataFrame, prompts: DataFrame, sample: int) -> DataFrame
     names = [*DEFECTS, "tail", "ended", "words", "like"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        speech = Speech(languages)
         for batch in batches:
-            seen = [votes_of(q or "", a or "", c, languages) for q, a, c in zip(batch["question"], batch["abstract"], batch["content"])]
-            out = pd.DataFrame({n: [x[n] for x in seen] for n in names})
+            texts = [(q or "", a or "", c) for q, a, c in zip(batch["question"], batch["abstract"], batch["content"])]
+            seen = [votes_of(*x) for x in texts]
+            votes, like = language_votes([(q, a, x["free"]) for (q, a, _), x in zip(texts, seen)], speech)
+            out = pd.DataFrame({n: votes if n == "language" else like if n == "like" else [x[n] for x in seen] for n in names})
             yield out.assign(response_id=batch["response_id"].to_numpy(), like=out["like"].astype("float64"))[["response_id", *names]]
 
     kind = responses.schema["response_id"].dataType.simpleString()
@@ -337,7 +352,7 @@ def judged(rows: DataFrame) -> DataFrame:
 
 
 def defects(
-    responses: DataFrame, prompts: DataFrame, cutoffs: dict[str, float] | None = None, sample: int = 20_000
+    responses: DataFrame, prompts: DataFrame, cutoffs: dict[str, float] | None = None, sample: int = 5_000
 ) -> DataFrame:
     """``response_id, defects, posteriors``: every pair with all its defects, strongest first.
 
