@@ -1,11 +1,11 @@
 """Frequency of every distinct term, in occurrences and in records.
 
-A record is one row with all of its terms, so the tokens of a task come ordered by record.
-A task keeps for each term its occurrences, its records and the last record that had it:
-a token counts as a new record only if the last one differs, so no set of records is ever
-held. Here the comparison runs over a whole Arrow batch at once, with tokens ordered by
-term and record. Partial counts are added up by a shuffle on the term, whose rows are
-already combined: a term that a third of all records hold is one row a batch.
+Rows are partitioned by the hash of their record and ordered by it, so the tokens of a task
+come record by record. A task keeps for each term its occurrences, its records and the last
+record that had it: a token counts as a new record only if the last one differs, so no set
+of records is ever held. The tokens of an Arrow batch are brought to their counters
+together. Counters are added up by a shuffle on the term, one row a term and task: a term
+that a third of all records hold is as light as any other.
 """
 
 from __future__ import annotations
@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 from quillspan.runtime import cut
 
+#: Terms that a task holds counters of before it hands them on.
+HELD = 1_000_000
+
 
 def plain_terms(values: Column) -> Column:
     """Members trimmed of spaces and tabs, in lower case; nulls and blanks are no terms."""
@@ -64,44 +67,80 @@ def gold_values(expected: Column) -> Column:
     return F.flatten(per_field)
 
 
+class Counters:
+    """Last-seen counters: of each term its occurrences, its records, and the last record that had it.
+
+    The null term stands for all of them.
+    """
+
+    def __init__(self) -> None:
+        self.held: dict[str | None, list[int]] = {}
+
+    def add(self, lists: pa.Array, record: np.ndarray) -> None:
+        """The terms of rows in the order of their records."""
+        flat, owner = pc.list_flatten(lists), record[np.asarray(pc.list_parent_indices(lists))]
+        valid = np.asarray(pc.is_valid(flat))
+        flat, owner = flat.filter(pa.array(valid)), owner[valid]
+        if len(flat) == 0:
+            return
+        coded = pc.dictionary_encode(flat)
+        code = np.asarray(coded.indices)
+        order = np.argsort(code, kind="stable")  # by term; within it still by record
+        self._merge(coded.dictionary.to_pylist(), code[order], owner[order])
+        self._merge([None], np.zeros(len(owner), int), owner)
+
+    def _merge(self, terms: list, code: np.ndarray, record: np.ndarray) -> None:
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        new = np.ones(len(code), bool)
+        new[1:] = (code[1:] != code[:-1]) | (record[1:] != record[:-1])
+        last = np.append(first[1:], len(code)) - 1
+        found = zip(code[first], np.diff(np.append(first, len(code))), np.add.reduceat(new, first, dtype=int), record[first], record[last])
+        for c, occurrences, records, begin, end in found:
+            own = self.held.setdefault(terms[c], [0, 0, -1])
+            own[0] += int(occurrences)
+            own[1] += int(records) - (own[2] == begin)
+            own[2] = int(end)
+
+    def leave(self, record: int) -> Iterator[pa.RecordBatch]:
+        """The counters so far; those of the given record, which may go on, stay as seen."""
+        kept = [(t, x) for t, x in self.held.items() if x[0]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([t for t, _ in kept], pa.string()), pa.array([x[0] for _, x in kept], pa.int64()), pa.array([x[1] for _, x in kept], pa.int64())],
+            names=["term", "occurrences", "records"],
+        )
+        self.held = {t: [0, 0, record] for t, x in self.held.items() if x[2] == record}
+
+
 def term_counts(records: DataFrame, key: str, terms: str) -> DataFrame:
     """``term, occurrences, records`` over rows of one record each, and a null term's row.
 
     The row of the null term has in ``records`` the number of records with at least one
-    term, and in ``occurrences`` the number of all terms. Records that come more than once
-    count once, by ``key``; of different lists under one key the smallest counts; null
-    keys are one record. Null lists, null members and empty tables count nothing. Terms
-    are compared as they are: normalize them first. Other columns are ignored.
+    term, and in ``occurrences`` the number of all terms. Rows that come more than once,
+    unchanged, count once; different rows of one ``key`` are one record together; each row
+    of null key is a record of its own. Null lists, null members and empty tables count
+    nothing. Terms are compared as they are: normalize them first. Other columns are ignored.
     """
-    one = records.select(F.col(key).alias("_key"), F.col(terms).alias("_terms")).groupBy("_key").agg(
-        F.min("_terms").alias("_terms")
-    )
+    rows = records.select(F.col(key).alias("_key"), F.col(terms).alias("_terms"))
+    lone = rows.withColumn("_lone", F.when(F.col("_key").isNull(), F.monotonically_increasing_id()))
+    one = lone.repartition("_key", "_lone").distinct().sortWithinPartitions("_key", "_lone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters, number, last_key = Counters(), 0, None
         for batch in batches:
-            lists = batch.column(0)
-            flat, record = pc.list_flatten(lists), np.asarray(pc.list_parent_indices(lists))
-            held = np.asarray(pc.is_valid(flat))
-            flat, record = flat.filter(pa.array(held)), record[held]
-            coded = pc.dictionary_encode(flat)
-            code = np.asarray(coded.indices)
-            n = len(coded.dictionary)
-            order = np.argsort(code, kind="stable")  # by term; within it still by record
-            code, last = code[order], record[order]
-            new = np.ones(len(code), bool)
-            new[1:] = (code[1:] != code[:-1]) | (last[1:] != last[:-1])
-            occurrences = np.bincount(code, minlength=n)
-            seen_in = np.bincount(code[new], minlength=n)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([coded.dictionary.cast(pa.string()), pa.array([None], pa.string())]),
-                    pa.array(np.append(occurrences, len(code)).astype(np.int64)),
-                    pa.array(np.append(seen_in, len(np.unique(record))).astype(np.int64)),
-                ],
-                names=["term", "occurrences", "records"],
-            )
-
-    partial = one.select("_terms").mapInArrow(run, "term string, occurrences bigint, records bigint")
+            if batch.num_rows == 0:
+                continue
+            keys = batch.column(0)
+            same = np.zeros(batch.num_rows, bool)
+            same[0] = last_key is not None and keys[0].as_py() == last_key
+            same[1:] = np.asarray(pc.fill_null(pc.equal(keys.slice(1), keys.slice(0, batch.num_rows - 1)), False))
+            record = number + np.cumsum(~same)
+            number, last_key = int(record[-1]), keys[batch.num_rows - 1].as_py()
+            counters.add(batch.column(1), record)
+            if len(counters.held) > HELD:
+                yield from counters.leave(number)
+        yield from counters.leave(-1)
+
+    partial = one.select("_key", "_terms").mapInArrow(run, "term string, occurrences bigint, records bigint")
     return partial.groupBy("term").agg(
         F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")
     )

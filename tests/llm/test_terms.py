@@ -36,3 +36,31 @@ def test_plain_terms_and_gold(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], "id string, v array<string>")
     assert t.marked(t.term_counts(empty, "id", "v")).collect() == []
+
+
+def test_counters_over_batches_and_rows_of_one_record(spark):
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    rows = [(i // 3, [rng.choice("abcdefgh") for _ in range(rng.randint(0, 5))]) for i in range(300)]
+    for step in (1, 7, 300):
+        counters, got = t.Counters(), Counter()
+        seen: dict = {}
+        for lo in range(0, 300, step):
+            part = rows[lo : lo + step]
+            counters.add(pa.array([v for _, v in part], pa.list_(pa.string())), np.array([k for k, _ in part]))
+            if step == 7:
+                for batch in counters.leave(part[-1][0]):
+                    got.update({r["term"]: r["records"] for r in batch.to_pylist()})
+        for batch in counters.leave(-1):
+            got.update({r["term"]: r["records"] for r in batch.to_pylist()})
+        for k, v in rows:
+            for x in v:
+                seen.setdefault(x, set()).add(k)
+                seen.setdefault(None, set()).add(k)
+        assert {x: n for x, n in got.items() if n} == {x: len(ks) for x, ks in seen.items()}
+    frame = spark.createDataFrame([(None, ["a"]), (None, ["a"]), ("k", ["a", "b"]), ("k", ["a"]), ("k", ["a"])], "k string, v array<string>")
+    assert {r.term: (r.occurrences, r.records) for r in t.term_counts(frame, "k", "v").collect()} == {"a": (4, 3), "b": (1, 1), None: (5, 3)}
