@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm import canonical, encoding, leakage, pairs, quantiles, subjects, terms
@@ -13,6 +13,11 @@ FIELDS = ("request_duration_s", "eval_duration_s", "completion_tokens")
 SHARES = (0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 
+def _nine_digits(value: str) -> Column:
+    """Nine significant digits, whatever the size of the value."""
+    return F.format_string("%.8e", value).cast("double")
+
+
 def _daily(spark: SparkSession, d: str) -> DataFrame:
     calls = table(spark, d, "llm_call").withColumn("day", F.to_date("called_at"))
     return quantiles.sketch(quantiles.once(calls, "call_id", ("model", "day"), FIELDS), ("model", "day"), FIELDS)
@@ -26,13 +31,13 @@ def p1_sketches(spark: SparkSession, d: str) -> DataFrame:
 def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles by model, from the combined sketches of all days."""
     found = quantiles.percentiles(_daily(spark, d), ("model",), SHARES)
-    return found.withColumn("value", F.round("value", 6))
+    return found.withColumn("value", _nine_digits("value"))
 
 
 def p1_response_percentiles(spark: SparkSession, d: str) -> DataFrame:
     responses = quantiles.once(table(spark, d, "llm_response"), "response_id", ("model",), FIELDS)
     found = quantiles.percentiles(quantiles.sketch(responses, ("model",), FIELDS), ("model",), SHARES)
-    return found.withColumn("value", F.round("value", 6))
+    return found.withColumn("value", _nine_digits("value"))
 
 
 def _matched(spark: SparkSession, d: str) -> DataFrame:
@@ -151,7 +156,7 @@ placed as (
     sum(n) over (partition by model, field) as total from bucketed),
 ranked as (select *, floor(1 + share * (total - 1)) as r from placed,
   (values (0.05::double), (0.25), (0.5), (0.75), (0.9), (0.95), (0.99)) as s(share))
-select model, field, share, round(sign * pow(1.01::double / 0.99::double, bucket) * (2 / (1 + 1.01::double / 0.99::double)), 6) as value,
+select model, field, share, cast(printf('%.8e', sign * pow(1.01::double / 0.99::double, bucket) * (2 / (1 + 1.01::double / 0.99::double))) as double) as value,
   cast(total as bigint) as n
 from ranked where upto - n < r and r <= upto
 """
