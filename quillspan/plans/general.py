@@ -73,7 +73,37 @@ tree(iri, root_iri, node_depth) as (
   select e.iri, tree.root_iri, tree.node_depth + 1 from edge e join tree on e.parent = tree.iri)
 """
 
+_RECORDS = r"""
+with rec as (select distinct record_id, raw_line as raw, ',' || raw_line as line from raw_record),
+cut as (
+  select *, coalesce(regexp_full_match(line, '(?s)(?:,(?:"(?:[^"]|"")*"|[^",]*))*'), true) as formed,
+    regexp_extract_all(line, '(?s),("(?:[^"]|"")*"|[^",]*)', 1) as pieces from rec),
+fields as (
+  select record_id, raw, formed, formed and raw is not null and len(pieces) = 7 as complete,
+    list_transform(pieces, lambda x: case when x[1] = '"' then replace(x[2:-2], '""', '"') else x end) as f from cut),
+ruled as (
+  select *, case when not complete then []::varchar[] else list_filter([
+    case when not (regexp_full_match(f[1], '[0-9]+') and coalesce(try_cast(f[1] as bigint), 0) > 0) then 'response_id' end,
+    case when not regexp_full_match(f[2], 'AB[0-9]{9}') then 'abstract_id' end,
+    case when not regexp_matches(f[3], '\S') then 'model' end,
+    case when lower(f[4]) not in ('true', 'false') then 'done' end,
+    case when f[5] <> '' and not (regexp_full_match(f[5], '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')
+      and coalesce(try_cast(f[5] as double), -1) >= 0 and not isinf(coalesce(try_cast(f[5] as double), -1))) then 'request_duration_s' end,
+    case when f[6] <> '' and not (regexp_full_match(f[6], '[0-9]+') and try_cast(f[6] as bigint) is not null) then 'completion_tokens' end,
+    case when f[7] <> '' and not (json_valid(f[7]) and coalesce(json_type(try_cast(f[7] as json)), '') = 'OBJECT'
+      and not regexp_matches(f[7], ',\s*[}\]]')) then 'content' end], lambda x: x is not null) end as bad_fields
+  from fields),
+judged as (
+  select *, case when not formed then 'quoting' when not complete then 'columns' when len(bad_fields) > 0 then 'value' end as fault from ruled)
+"""
+
 SQL = {
+    "p4_found": _RECORDS + "select record_id, fault from judged where fault is not null",
+    "p4_faults": _RECORDS + "select record_id, fault, bad_fields, raw from judged where fault is not null",
+    "p4_loaded": _RECORDS
+    + """select record_id, cast(f[1] as bigint) as response_id, f[2] as abstract_id, f[3] as model, lower(f[4]) = 'true' as done,
+  cast(nullif(f[5], '') as double) as request_duration_s, cast(nullif(f[6], '') as bigint) as completion_tokens, f[7] as content
+from judged where fault is null""",
     "p3_found": _TREE
     + """
 select e.iri, coalesce(t.root_iri, '') as root_iri, cast(coalesce(t.node_depth, -1) as integer) as node_depth
