@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.runtime import delivered_once
+
 ACCURACY = 0.01
 
 
@@ -89,5 +91,5 @@ def percentiles(
 
 
 def once(rows: DataFrame, key: str, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """The rows without repeated deliveries: one per ``key`` and grouping columns."""
-    return rows.groupBy(key, *keys).agg(*[F.max(f).alias(f) for f in fields])
+    """The rows without repeated deliveries, told by ``key`` and all columns used; null keys all stay."""
+    return delivered_once(rows.select(key, *keys, *fields), key)

@@ -36,3 +36,17 @@ def test_empty_and_repeated(spark):
     assert q.percentiles(q.sketch(empty, ("m",), ("x",)), ("m",), SHARES).collect() == []
     twice = spark.createDataFrame([(1, "m", 2.0), (1, "m", 2.0), (2, None, None)], "id int, m string, x double")
     assert q.once(twice, "id", ("m",), ("x",)).count() == 2
+
+
+def test_rows_of_null_key_all_count(spark):
+    rows = spark.createDataFrame([(None, "m", 1.0), (None, "m", 1.0), (1, "m", 2.0), (1, "m", 2.0), (2, "m", float("nan")), (2, "m", float("nan"))], "k long, model string, x double")
+    got = {(r.sign, r.bucket): r.n for r in q.sketch(q.once(rows, "k", ("model",), ("x",)), ("model",), ("x",)).collect()}
+    assert sorted(got.values()) == [1, 1, 2] and got[None, None] == 1
+
+
+def test_small_values_keep_their_digits(spark):
+    from quillspan.llm.queries import _nine_digits
+
+    rows = spark.createDataFrame([("m", 1.23456789e-9 * (i + 1)) for i in range(200)], "model string, x double")
+    found = q.percentiles(q.sketch(rows, ("model",), ("x",)), ("model",), (0.5,)).withColumn("value", _nine_digits("value")).first()
+    assert abs(found.value / (1.23456789e-9 * 100) - 1) <= 0.0101
