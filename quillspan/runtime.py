@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,13 +27,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and return it without its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of this session, which all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session that
-    names none gets a temporary folder of its own; a cluster must name a shared one.
+    It is the session's ``spark.checkpoint.dir``. Only a local session that names none gets
+    a temporary folder of its own; a cluster must name a shared one.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
         if named is None:
@@ -40,6 +41,17 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="quillspan-checkpoint-")
         sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and return it without its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

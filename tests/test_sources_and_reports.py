@@ -39,6 +39,26 @@ def test_gold_vocabulary_and_sections(spark, tmp_path):
     assert files.read_sections(spark, str(folder), ["b.txt", "missing.txt", "a.txt"]) == ["B", "A"]
 
 
+def test_sections_and_vocabulary_of_several_lines(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("first\n\nsecond \n")
+    assert files.read_sections(spark, str(tmp_path), ["a.txt"]) == ["first\n\nsecond"]
+    terms = spark.createDataFrame([("f", f"t{i}") for i in range(30)] + [("g", 'a "b" c')], "field string, term string")
+    files.write_vocabulary(terms, str(tmp_path / "v"))
+    got = files.read_vocabulary(spark, str(tmp_path / "v"), ("f", "g")).collect()
+    assert sorted((r.field, r.pos, r.term) for r in got) == sorted([("f", i, t) for i, t in enumerate(sorted(f"t{i}" for i in range(30)), 1)] + [("g", 1, 'a "b" c')])
+
+
+def test_written_gold_and_ontology_read_back(spark, tmp_path):
+    items = [("1", "T \"q\"", None, '{"f":\n ["x", "y"]}'), ("2", None, "line\nbreak", None)]
+    files.write_gold(spark.createDataFrame(items, "id string, title string, abstract string, expected string"), str(tmp_path / "g"))
+    got = sorted(tuple(r)[1:] for r in files.read_gold(spark, str(tmp_path / "g"), lines=True).collect())
+    assert [(*r[:3], r[3] and json.loads(r[3])) for r in got] == [("1", 'T "q"', None, {"f": ["x", "y"]}), ("2", None, "line\nbreak", None)]
+    classes = [("x#a", "A & <b>", ["one", None], "D\nE", "x#p", False), ("x#c", None, None, None, None, True), ("x#d", None, None, None, None, None)]
+    files.write_ontology(spark.createDataFrame(classes, "iri string, label string, alt_terms array<string>, definition string, parent_iri string, deprecated boolean"), str(tmp_path / "o"), 3)
+    assert {tuple(r) for r in map(lambda r: (r.iri, r.label, tuple(r.alt_terms), r.definition, r.parent_iri), files.read_ontology(spark, str(tmp_path / "o")).collect())} == {
+        ("x#a", "A & <b>", ("one",), "D\nE", "x#p"), ("x#d", "", (), None, None)}
+
+
 def test_vocabulary(spark):
     classes = spark.createDataFrame(
         [("g", "Group", None, None, None, None), ("p", "P", ["pp"], None, "g", False), ("k", "Kid", ["kk", "KID", None], None, "p", False), ("d", "Dep", None, None, "g", True),
