@@ -15,29 +15,25 @@ from quillspan.runtime import cut, once, table
 
 
 def responses(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "llm_response")
-    return rows.groupBy(F.col("response_id").alias("item_id")).agg(F.max(F.struct("abstract_id", "model")).alias("r")).select(
-        "item_id", "r.abstract_id", F.coalesce("r.model", F.lit("")).alias("model")
-    )
+    rows = table(spark, d, "llm_response").select("response_id", "abstract_id", "model").distinct()
+    return rows.select(F.col("response_id").alias("item_id"), "abstract_id", F.coalesce("model", F.lit("")).alias("model"))
 
 
 def gold_fields(spark: SparkSession, d: str) -> DataFrame:
     """``abstract_id, attribute, values`` of each gold field."""
-    rows = table(spark, d, "abstract_item").groupBy("abstract_id").agg(F.max("expected").alias("expected"))
+    rows = table(spark, d, "abstract_item").select("abstract_id", "expected").distinct()
     fields = rows.select("abstract_id", F.explode(answers.as_object(F.col("expected"))).alias("attribute", "gold"))
     return once(fields, "values", answers.gold_values(F.col("gold"))).select("abstract_id", "attribute", "values")
 
 
-def cells(spark: SparkSession, d: str) -> DataFrame:
+def cells(spark: SparkSession, d: str, items: DataFrame | None = None) -> DataFrame:
     """``item_id, model, attribute, cell``: the extracted values of a field, comma-joined."""
-    rows = table(spark, d, "extraction").groupBy("extraction_id").agg(
-        F.max(F.struct("response_id", "attr_name", "value_list")).alias("x")
+    rows = table(spark, d, "extraction").where("value_list is not null").select("extraction_id", "response_id", "attr_name", "value_list")
+    joined = rows.distinct().select(
+        F.col("response_id").alias("item_id"), F.col("attr_name").alias("attribute"), F.array_join("value_list", ", ").alias("cell")
     )
-    joined = rows.where(F.col("x.value_list").isNotNull()).select(
-        F.col("x.response_id").alias("item_id"), F.col("x.attr_name").alias("attribute"),
-        F.array_join(F.col("x.value_list"), ", ").alias("cell"),
-    )
-    return joined.join(responses(spark, d).select("item_id", "model"), "item_id")
+    items = responses(spark, d) if items is None else items
+    return joined.join(items.select("item_id", "model"), "item_id")
 
 
 def synonyms(spark: SparkSession, d: str) -> DataFrame:
@@ -48,11 +44,11 @@ def synonyms(spark: SparkSession, d: str) -> DataFrame:
 
 def long_forms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Extracted long, gold long and the gold attributes, all by response."""
-    known = synonyms(spark, d)
-    items = responses(spark, d).select("item_id", "abstract_id")
-    gold = gold_fields(spark, d).join(items, "abstract_id")
+    known = cut(synonyms(spark, d))  # a vocabulary: written before its size is checked twice
+    items = cut(responses(spark, d))
+    gold = gold_fields(spark, d).join(items.select("item_id", "abstract_id"), "abstract_id")
     # read several times by outcomes and scores: written once instead of being made again
-    return cut(matching.extracted_long(cells(spark, d), known)), cut(matching.gold_long(gold, known)), gold
+    return cut(matching.extracted_long(cells(spark, d, items), known)), cut(matching.gold_long(gold, known)), gold
 
 
 def answered(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +57,8 @@ def answered(spark: SparkSession, d: str) -> DataFrame:
     These are the answers that can be read as an object with fields, and those of which
     fields were parsed. Unreadable and empty answers are errors, which the source does not score.
     """
-    rows = table(spark, d, "llm_response").groupBy("response_id").agg(F.max("content").alias("content"))
+    rows = table(spark, d, "llm_response")
+    # answers are read where they are: what moves are the numbers of those that can be
     readable = rows.where(F.size(answers.as_object(answers.repaired(F.col("content")))) > 0).select("response_id")
     parsed = table(spark, d, "extraction").select("response_id")
     known = readable.unionByName(parsed).withColumnRenamed("response_id", "item_id").distinct()
