@@ -14,6 +14,8 @@ TOKENS = ("prompt_tokens", "completion_tokens", "reasoning_tokens")
 
 
 def _calls(spark: SparkSession, d: str) -> DataFrame:
+    """Calls with their durations and counts; durations below 0 or above 100,000 s and negative
+    counts are sentinels or stray units and null."""
     rows = table(spark, d, "llm_call").select("call_id", "model", "abstract_id", "constrained", *DURATIONS, *TOKENS).distinct()
     good = [F.when(F.col(c).between(0, 100_000), F.col(c)).cast("decimal(18,6)").alias(c) for c in DURATIONS]
     return rows.select("call_id", "model", "abstract_id", "constrained", *good, *[F.when(F.col(c) >= 0, F.col(c)).alias(c) for c in TOKENS])
